@@ -170,11 +170,16 @@ def query_words(c) -> Column:
 
 
 def ngrams(c, n: int = 3) -> Column:
-    """All substrings of length ``n`` (empty for shorter texts), case-folded."""
-    c = F.lower(col(c))
-    last = F.length(c) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
+    """All substrings of length ``n`` (none for shorter texts), case-folded.
+
+    One regex pass: ``substring`` counts characters from the start, so a loop of it is quadratic.
+    """
+    return F.regexp_extract_all(F.lower(col(c)), F.lit(f"(?s)(?=(.{{{n}}}))."), 1)
+
+
+def tails(c, n: int) -> Column:
+    """The text from every position on, cut to ``n`` characters."""
+    return F.regexp_extract_all(col(c), F.lit(f"(?s)(?=(.{{1,{n}}}))."), 1)
 
 
 def strip_html(c) -> Column:

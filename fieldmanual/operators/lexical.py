@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmanual.functions import text as tx
-from fieldmanual.operators.ordered import top_k
+from fieldmanual.operators.ordered import cut_lineage, top_k
 
 # Okapi parameters (Robertson & Zaragoza 2009).
 K1, B = 1.2, 0.75
@@ -45,33 +45,25 @@ def prepare_queries(queries: DataFrame, key: str = "query_id", question: str = "
             .filter(F.size("terms") > 0).withColumn("anchor", anchor["t"]))
 
 
-def _grams_of(c, n):
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))),
-                       lambda i: F.substring(c, i, n))
-
-
 def terms_in_words(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """(term, word, times) for every vocabulary word that contains a term.
 
     A term is looked up by its rarest gram (three characters, or the whole of a shorter term).
     """
     t = terms.select("term").distinct().withColumn("g", F.least(F.length("term"), F.lit(3)))
-    term_grams = t.select("term", F.explode(F.array_distinct(_grams_of(F.col("term"), F.col("g")))).alias("gram"))
-    sizes = t.select("g").distinct()
+    term_grams = (t.select("term", "g", F.explode(tx.tails("term", 3)).alias("tail")).filter(F.length("tail") >= F.col("g"))
+                  .select("term", F.substr("tail", F.lit(1), F.col("g")).alias("gram")).distinct())
     wanted = term_grams.select("gram").distinct()
-    word_grams = (vocab.select("word").distinct().join(F.broadcast(sizes), F.col("g") <= F.length("word"))
-                  .select("word", F.explode(F.array_distinct(_grams_of(F.col("word"), F.col("g")))).alias("gram"))
-                  .join(wanted, "gram", "left_semi"))
-    # The rarest gram is chosen on exact counts; at most one row per gram is compared.
+    heads = F.explode(F.array(*[F.substring("tail", 1, n) for n in (1, 2, 3)]))
+    word_grams = (vocab.select("word").distinct().select("word", F.explode(tx.tails("word", 3)).alias("tail"))
+                  .select("word", heads.alias("gram")).join(wanted, "gram", "left_semi"))
+    # The rarest gram is chosen on counts; a term with an unseen gram matches nothing.
     weight = word_grams.groupBy("gram").agg(F.count("*").alias("words"))
-    anchor = (term_grams.join(weight, "gram").groupBy("term")
-              .agg(F.min_by("gram", F.struct("words", "gram")).alias("gram"),
-                   F.count("*").alias("seen")))
-    # A term with an unseen gram matches nothing.
-    needed = term_grams.groupBy("term").agg(F.count("*").alias("need"))
-    anchor = anchor.join(needed, "term").filter("seen = need").select("term", "gram")
+    anchor = (term_grams.join(weight, "gram", "left").groupBy("term")
+              .agg(F.min_by("gram", F.struct("words", "gram")).alias("gram"), F.bool_and(F.col("words").isNotNull()).alias("seen"))
+              .filter("seen").select("term", "gram"))
     return (word_grams.join(anchor, "gram").filter(F.col("word").contains(F.col("term")))
-            .select("term", "word", tx.occurrences(F.col("word"), F.col("term")).alias("times")))
+            .select("term", "word").distinct().withColumn("times", tx.occurrences(F.col("word"), F.col("term"))))
 
 
 def term_passages(terms: DataFrame, postings: DataFrame, seq: str = "seq") -> DataFrame:
@@ -94,7 +86,7 @@ def search_like(passages: DataFrame, queries: DataFrame, key: str = "query_id",
     ``visible`` (rows of seq) restricts the passages before ranking and limit.
     """
     q = prepare_queries(queries, key, question)
-    postings = index if index is not None else build_word_index(passages, seq, cols)
+    postings = index if index is not None else cut_lineage(build_word_index(passages, seq, cols))
     if visible is not None:
         postings = postings.join(visible.select(seq).distinct(), seq, "left_semi")
     cand = candidates(q, postings, key, seq)
@@ -121,7 +113,7 @@ def search_bm25(passages: DataFrame, queries: DataFrame, key: str = "query_id",
     Term counts and lengths are taken over all passages; ``visible`` filters before ranking and limit.
     """
     q = prepare_queries(queries, key, question)
-    postings = index if index is not None else build_word_index(passages, seq, [text])
+    postings = index if index is not None else cut_lineage(build_word_index(passages, seq, [text]))
     seen = postings if visible is None else postings.join(visible.select(seq).distinct(), seq, "left_semi")
     cand = candidates(q, seen, key, seq)
     verified = (passages.select(seq, F.lower(text).alias("__text"))
@@ -142,11 +134,13 @@ def search_bm25(passages: DataFrame, queries: DataFrame, key: str = "query_id",
 
 
 def search_with_fallback(passages: DataFrame, queries: DataFrame, key: str = "query_id",
-                         question: str = "question", **options) -> DataFrame:
+                         question: str = "question", index: DataFrame | None = None, **options) -> DataFrame:
     """Okapi search; queries with no hit, or with short ideograph terms, take the LIKE search."""
-    ranked = search_bm25(passages, queries.filter(~tx.needs_like(question)), key, question, **options)
+    seq, text = options.get("seq", "seq"), options.get("text", "text")
+    index = index if index is not None else cut_lineage(build_word_index(passages, seq, [text]))
+    ranked = search_bm25(passages, queries.filter(~tx.needs_like(question)), key, question, index=index, **options)
     rest = queries.join(ranked.select(key).distinct(), key, "left_anti")
-    like = search_like(passages, rest, key, question, **options)
+    like = search_like(passages, rest, key, question, index=index, cols=[text], **options)
     columns = ranked.columns
     return (ranked.withColumn("score", F.col("score").cast("double")).withColumn("method", F.lit("bm25"))
             .unionByName(like.select(*columns).withColumn("score", F.col("score").cast("double"))

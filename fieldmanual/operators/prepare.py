@@ -210,11 +210,10 @@ def locate_snippet(snippets: DataFrame, pages: DataFrame, doc: str, key: str, sn
     asked = asked.withColumn("__g", F.substring("__p", 1, shortest))
     wanted = asked.select(doc, "__g", "__p").distinct()
     lengths = wanted.select(doc, F.length("__g").alias("__n")).distinct()
-    at = F.transform(F.sequence(F.lit(1), F.length("__t") - F.col("__n") + 1), lambda i: F.struct(
-        F.substring(F.col("__t"), i, F.col("__n")).alias("g"), F.substring(F.col("__t"), i, F.lit(longest)).alias("tail")))
     flat = pages.select(doc, "page", F.regexp_replace(page_text, r"\s+", "").alias("__t"))
-    grams = (flat.join(lengths, doc).filter(F.length("__t") >= F.col("__n"))
-             .select(doc, "page", F.explode(at).alias("x")).select(doc, "page", F.col("x.g").alias("__g"), "x.tail"))
+    grams = (flat.join(lengths, doc).select(doc, "page", "__n", F.explode(tx.tails("__t", longest)).alias("tail"))
+             .filter(F.length("tail") >= F.col("__n"))
+             .select(doc, "page", F.substr("tail", F.lit(1), F.col("__n")).alias("__g"), "tail"))
     hits = grams.join(wanted, [doc, "__g"])
     level = F.lit(0)
     for i, n in enumerate(sorted(probes)):

@@ -108,7 +108,7 @@ def section_pages(t: Tables):
 
 @query("legible_lines", r"""
 WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))),
-  x -> len(regexp_extract_all(x, '[A-Za-z0-9\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]')) >= 3
+  lambda x: len(regexp_extract_all(x, '[A-Za-z0-9\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]')) >= 3
     AND len(regexp_extract_all(x, '[A-Za-z0-9\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]')) * 2 >= length(regexp_replace(x, '\s', '', 'g'))) AS k FROM documents),
 t AS (SELECT doc_id, array_to_string(k, chr(10)) AS x FROM l)
 SELECT doc_id, CASE WHEN len(regexp_extract_all(x, '[A-Za-z0-9\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]')) >= 30 THEN md5(x) END AS kept FROM t""")
@@ -219,17 +219,17 @@ def masked_aliases(t: Tables):
 
 
 @query("snippet_pages", r"""
-WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS page, regexp_replace(unnest(string_split(text, chr(10))), '\s+', '', 'g') AS t FROM documents),
-sn AS (SELECT doc_id, page AS key, t FROM l WHERE t <> ''),
-a AS (SELECT sn.doc_id, sn.key, min(CASE WHEN contains(l.t, substr(sn.t, 1, 40)) THEN l.page END) AS p40,
-  min(CASE WHEN contains(l.t, substr(sn.t, 1, 24)) THEN l.page END) AS p24, min(CASE WHEN contains(l.t, substr(sn.t, 1, 14)) THEN l.page END) AS p14
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS page, unnest(string_split(text, chr(10))) AS line FROM documents),
+sn AS (SELECT doc_id, regexp_replace(max(line), '\s+', '', 'g') AS t FROM l GROUP BY doc_id),
+a AS (SELECT sn.doc_id, min(CASE WHEN contains(regexp_replace(line, '\s+', '', 'g'), substr(t, 1, 40)) THEN page END) AS p40,
+  min(CASE WHEN contains(regexp_replace(line, '\s+', '', 'g'), substr(t, 1, 24)) THEN page END) AS p24,
+  min(CASE WHEN contains(regexp_replace(line, '\s+', '', 'g'), substr(t, 1, 14)) THEN page END) AS p14
   FROM sn JOIN l USING (doc_id) GROUP BY ALL)
-SELECT doc_id, CAST(key AS BIGINT) AS key, CAST(coalesce(p40, p24, p14, 1) AS BIGINT) AS page FROM a""")
+SELECT doc_id, CAST(coalesce(p40, p24, p14, 1) AS BIGINT) AS page FROM a""")
 def snippet_pages(t: Tables):
     lines = prepare.text_lines(t.documents, ["doc_id"]).select("doc_id", (F.col("line_no") + 1).cast("long").alias("page"), F.col("line").alias("page_text"))
-    snippets = lines.select("doc_id", F.col("page").alias("key"), F.col("page_text").alias("snippet")).filter(
-        F.regexp_replace("snippet", r"\s+", "") != "")
-    return prepare.locate_snippet(snippets, lines, "doc_id", "key").select("doc_id", "key", "page")
+    quoted = lines.groupBy("doc_id").agg(F.max("page_text").alias("snippet")).withColumn("key", F.lit(1))
+    return prepare.locate_snippet(quoted, lines, "doc_id", "key").select("doc_id", "page")
 
 
 @query("code_cells", r"""
