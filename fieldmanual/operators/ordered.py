@@ -72,21 +72,31 @@ def row_positions(df: DataFrame, keys: Sequence[str], seq: str, out: str, width:
 def carry(df: DataFrame, keys: Sequence[str], seq: str, value: Column, out: str,
           direction: str = "last", inclusive: bool = True, width: int = WIDTH) -> DataFrame:
     """Last non-null ``value`` at or before each row (``direction='next'``: at or after it)."""
+    return carry_many(df, keys, seq, {out: value}, direction, inclusive, width)
+
+
+def carry_many(df: DataFrame, keys: Sequence[str], seq: str, values: dict[str, Column],
+               direction: str = "last", inclusive: bool = True, width: int = WIDTH) -> DataFrame:
+    """Carry several values along each group in one pass."""
     back = direction == "next"
-    b = _blocked(df.withColumn("__v", value), seq, width)
+    b = _blocked(df, seq, width)
+    for i, v in enumerate(values.values()):
+        b = b.withColumn(f"__v{i}", v)
+    n = range(len(values))
     pick = F.min_by if back else F.max_by
-    ends = (b.filter(F.col("__v").isNotNull()).groupBy(*_same(keys))
-            .agg(pick("__v", seq).alias("__e")))
-    blocks = b.select(*_same(keys)).distinct().join(ends, _same(keys), "left")
+    ends = b.groupBy(*_same(keys)).agg(*[
+        pick(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), F.col(seq))).alias(f"__e{i}") for i in n])
     by_block = F.col(_BLOCK).desc() if back else F.col(_BLOCK).asc()
-    prior = blocks.select(*_same(keys), F.last("__e", ignorenulls=True).over(
-        W.partitionBy(*keys).orderBy(by_block).rowsBetween(W.unboundedPreceding, -1)).alias("__c"))
+    along = W.partitionBy(*keys).orderBy(by_block).rowsBetween(W.unboundedPreceding, -1)
+    prior = ends.select(*_same(keys), *[F.last(f"__e{i}", ignorenulls=True).over(along).alias(f"__c{i}") for i in n])
     by_seq = F.col(seq).desc() if back else F.col(seq).asc()
-    stop = 0 if inclusive else -1
-    inside = F.last("__v", ignorenulls=True).over(
-        W.partitionBy(*_same(keys)).orderBy(by_seq).rowsBetween(W.unboundedPreceding, stop))
-    done = b.withColumn("__in", inside).join(prior, _same(keys), "left")
-    return done.withColumn(out, F.coalesce("__in", "__c")).drop("__v", "__in", "__c", _BLOCK)
+    inside = W.partitionBy(*_same(keys)).orderBy(by_seq).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    for i in n:
+        b = b.withColumn(f"__i{i}", F.last(f"__v{i}", ignorenulls=True).over(inside))
+    done = b.join(prior, _same(keys), "left")
+    for i, name in enumerate(values):
+        done = done.withColumn(name, F.coalesce(f"__i{i}", f"__c{i}"))
+    return done.drop(_BLOCK, *[f"__{x}{i}" for i in n for x in "vic"])
 
 
 def previous(df: DataFrame, keys: Sequence[str], seq: str, value: Column, out: str,

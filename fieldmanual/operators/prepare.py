@@ -118,7 +118,7 @@ def pack_windows(df: DataFrame, by: Sequence[str], order: str, text: str = "text
             .withColumn("__piece", F.concat(head, body))
             .withColumn("__len", F.length(body if measure == "text" else F.concat(head, body)).cast("long")))
     lean = rows.select(*by, order, "__len")
-    ends = od.running_sum(lean, by, order, "__len", "__end", width=width)
+    ends = od.cut_lineage(od.running_sum(lean, by, order, "__len", "__end", width=width))
     marked = od.keep_spaced(ends.withColumn("__start", F.col("__end") - F.col("__len")), by, order,
                             F.col("__start"), F.col("__end"), limit + 1, out="__opens", width=width)
     numbered = od.running_sum(marked.select(*by, order, "__opens"), by, order,

@@ -65,7 +65,7 @@ def fill_missing_end(groups: DataFrame, pages: DataFrame, max_pages: int = 3) ->
     known = (groups.join(ok, "cab", "left_semi").select("cab", "gid", F.explode(own).alias("key")))
     keyset = known.select("cab", "key").distinct().groupBy("cab").agg(F.collect_list("key").alias("all"))
     other = open_.join(keyset, "cab").withColumn("rest", F.array_except("all", "own")).filter(F.size("rest") == 1)
-    other = other.select("gid", "cab", F.element_at("rest", 1).alias("key"))
+    other = other.select("gid", "cab", F.get("rest", F.lit(0)).alias("key"))
     where = known.join(pages, "gid").select("cab", "key", "page").distinct()
     mine = pages.select("gid", "page").distinct()
     far = other.join(where, ["cab", "key"]).join(mine, ["gid", "page"], "left_anti")

@@ -42,7 +42,7 @@ def connector_keys(t: Tables):
     return t.part.select("p_partkey", F.array_join(cd.connector_keys(F.concat(F.lit("J "), n), F.concat(F.lit("cn"), s("p_size")), F.concat(F.lit("P"), n)), ",").alias("keys"))
 
 
-@query("wire_pins", """SELECT o_orderkey, CAST(3 * (o_custkey % 4 + 1) + 1 + CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END AS BIGINT) AS n_pins FROM orders""")
+@query("wire_pins", """SELECT o_orderkey, CAST(3 * (o_custkey % 4 + 1) + 2 + CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END AS BIGINT) AS n_pins FROM orders""")
 def wire_pins(t: Tables):
     w = F.concat(F.lit("A1~C"), (F.col("o_custkey") % 4 + 1).cast("string"), F.lit(", 777 (note 5~9), "), "o_orderstatus", F.lit(" P"))
     return t.orders.select("o_orderkey", F.size(cd.parse_pins(w)).cast("long").alias("n_pins"))
@@ -338,22 +338,22 @@ def glossary_passages(t: Tables):
     return t.part.select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("doc_name"), text.alias("text"))
 
 
-@query("mined_names", f"""SELECT p_brand AS doc_name, {INITIALS} AS abbr, {TITLE} AS "full", count(*) AS n FROM part GROUP BY ALL""")
+@query("mined_names", f"""SELECT p_brand AS doc_name, {INITIALS} AS abbr, {TITLE} AS "full", count(*) AS n FROM part WHERE {INITIALS} NOT IN ('NO', 'OK', 'NG', 'ON', 'PC', 'ID', 'IP', 'OS', 'PP', 'SW', 'UP', 'AC', 'DC', 'NA', 'VS', 'OR', 'IN', 'IS', 'IT') GROUP BY ALL""")
 def mined_names(t: Tables):
     return gl.mine_long_short(glossary_passages(t)).groupBy("doc_name", "abbr", "full").agg(F.count("*").alias("n"))
 
 
-@query("mined_phrases", f"""SELECT p_brand AS doc_name, {INITIALS} AS abbr, p_name AS "full", count(*) AS n FROM part GROUP BY ALL""")
+@query("mined_phrases", f"""SELECT p_brand AS doc_name, {INITIALS} AS abbr, p_name AS "full", count(*) AS n FROM part WHERE {INITIALS} NOT IN ('NO', 'OK', 'NG', 'ON', 'PC', 'ID', 'IP', 'OS', 'PP', 'SW', 'UP', 'AC', 'DC', 'NA', 'VS', 'OR', 'IN', 'IS', 'IT') GROUP BY ALL""")
 def mined_phrases(t: Tables):
     return gl.mine_short_long(glossary_passages(t)).groupBy("doc_name", "abbr", "full").agg(F.count("*").alias("n"))
 
 
-@query("mined_tables", f"""SELECT {INITIALS} AS abbr, {TITLE} AS cell, 'en' AS lang, count(*) AS n FROM part GROUP BY ALL""")
+@query("mined_tables", f"""SELECT {INITIALS} AS abbr, {TITLE} AS cell, 'en' AS lang, count(*) AS n FROM part WHERE {INITIALS} NOT IN ('NO', 'OK', 'NG', 'ON', 'PC', 'ID', 'IP', 'OS', 'PP', 'SW', 'UP', 'AC', 'DC', 'NA', 'VS', 'OR', 'IN', 'IS', 'IT') GROUP BY ALL""")
 def mined_tables(t: Tables):
     return gl.mine_tables(glossary_passages(t)).groupBy("abbr", "cell", "lang").agg(F.count("*").alias("n"))
 
 
-SENSES = f"""se AS (SELECT {INITIALS} AS abbr, {TITLE} AS en, count(*) AS n FROM part GROUP BY ALL HAVING count(*) >= 2),
+SENSES = f"""se AS (SELECT {INITIALS} AS abbr, {TITLE} AS en, count(*) AS n FROM part WHERE {INITIALS} NOT IN ('NO', 'OK', 'NG', 'ON', 'PC', 'ID', 'IP', 'OS', 'PP', 'SW', 'UP', 'AC', 'DC', 'NA', 'VS', 'OR', 'IN', 'IS', 'IT') GROUP BY ALL HAVING count(*) >= 2),
 sr AS (SELECT *, row_number() OVER (PARTITION BY abbr ORDER BY n DESC, lower(en)) AS sense_no FROM se)"""
 
 
@@ -363,7 +363,7 @@ def merged_senses(t: Tables):
     return gl.merge_senses(gl.mine_long_short(p), gl.mine_tables(p)).select("abbr", "full", "n", F.col("rank").cast("long").alias("place"))
 
 
-@query("sense_documents", f"SELECT abbr, doc_name FROM (SELECT DISTINCT {INITIALS} AS abbr, p_brand AS doc_name FROM part) QUALIFY row_number() OVER (PARTITION BY abbr ORDER BY doc_name) <= 5")
+@query("sense_documents", f"SELECT abbr, doc_name FROM (SELECT DISTINCT {INITIALS} AS abbr, p_brand AS doc_name FROM part WHERE {INITIALS} NOT IN ('NO', 'OK', 'NG', 'ON', 'PC', 'ID', 'IP', 'OS', 'PP', 'SW', 'UP', 'AC', 'DC', 'NA', 'VS', 'OR', 'IN', 'IS', 'IT')) QUALIFY row_number() OVER (PARTITION BY abbr ORDER BY doc_name) <= 5")
 def sense_documents(t: Tables):
     return gl.sense_documents(gl.mine_long_short(glossary_passages(t))).select("abbr", "doc_name")
 

@@ -325,12 +325,11 @@ def forward_fill_hierarchy(df: DataFrame, order: str, sheet: Sequence[str] = ("s
     keys = list(sheet)
     b = df.withColumn("__group", F.when(v("code").rlike(group_pattern) & ~is_code, v("code")) if group_pattern else F.lit(None).cast("string"))
     b = b.withColumn("__axis", F.when(~F.coalesce(v("axis").rlike(code_pattern), F.lit(False)), F.element_at(F.split(v("axis"), r"\s+"), 1)))
-    for c in ("__group", "__axis"):
-        b = od.carry(b, keys, order, F.col(c), f"{c}_c", width=width)
+    b = od.carry_many(b, keys, order, {"__group_c": F.col("__group"), "__axis_c": F.col("__axis")}, width=width)
     b = b.filter(F.col("__group").isNull())
     opens = (v("name").isNotNull() & v("idx").rlike(r"^\d+(\.\d+)?$")) if name_only else is_code
     b = b.withColumn("__open", F.coalesce(opens, F.lit(False)).cast("int"))
-    b = od.running_sum(b, keys, order, "__open", "entry_no", width=width).filter("entry_no > 0")
+    b = od.cut_lineage(od.running_sum(b, keys, order, "__open", "entry_no", width=width).filter("entry_no > 0"))
     ek = [*keys, "entry_no"]
     # A check or detail before any cause opens an unnamed one.
     has = v("cause").isNotNull()
@@ -341,7 +340,7 @@ def forward_fill_hierarchy(df: DataFrame, order: str, sheet: Sequence[str] = ("s
                        ek, order, "__blank", "__blanks", width=width)
     b = b.withColumn("cause_no", F.col("__named") + F.least(F.col("__blanks"), F.lit(1)))
     ck = [*ek, "cause_no"]
-    b = od.running_sum(b.withColumn("__chk", v("check").isNotNull().cast("int")), ck, order, "__chk", "step_no", width=width)
+    b = od.cut_lineage(od.running_sum(b.withColumn("__chk", v("check").isNotNull().cast("int")), ck, order, "__chk", "step_no", width=width))
     title = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(v("name").isNotNull(), F.struct(F.col(order).alias("o"), v("name").alias("t"))))),
                                      lambda x: x["t"]), " ") if name_only else F.min_by(F.coalesce(v("name"), v("code")), order)
     heads = b.groupBy(*ek).agg(
