@@ -122,6 +122,8 @@ def search_bm25(passages: DataFrame, queries: DataFrame, key: str = "query_id",
     tf = verified.select(key, seq, F.greatest(F.length("__text") - 2, F.lit(0)).alias("len"), F.explode(F.transform(
         "terms", lambda t: F.struct(t.alias("term"), tx.occurrences(F.col("__text"), t).alias("tf")))).alias("x")
                          ).select(key, seq, "len", "x.*")
+    # A few rows per verified hit, read for the term counts and for the scores.
+    tf = cut_lineage(tf)
     df = (term_passages(tf.select("term").distinct(), postings, seq)
           .groupBy("term").agg(F.count("*").alias("df")))
     # One row, so the product is a plain column append.
@@ -138,7 +140,7 @@ def search_with_fallback(passages: DataFrame, queries: DataFrame, key: str = "qu
     """Okapi search; queries with no hit, or with short ideograph terms, take the LIKE search."""
     seq, text = options.get("seq", "seq"), options.get("text", "text")
     index = index if index is not None else cut_lineage(build_word_index(passages, seq, [text]))
-    ranked = search_bm25(passages, queries.filter(~tx.needs_like(question)), key, question, index=index, **options)
+    ranked = cut_lineage(search_bm25(passages, queries.filter(~tx.needs_like(question)), key, question, index=index, **options))
     rest = queries.join(ranked.select(key).distinct(), key, "left_anti")
     like = search_like(passages, rest, key, question, index=index, cols=[text], **options)
     columns = ranked.columns

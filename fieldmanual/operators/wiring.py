@@ -155,6 +155,7 @@ def trace(groups: DataFrame, pages: DataFrame, start: str, max_hops: int = 3, va
     are not followed.  One reliable checkpoint per hop keeps the plan flat.
     """
     spark = groups.sparkSession
+    groups, pages = cut_lineage(groups), cut_lineage(pages)
     links = follow_keys(groups)
     base = groups.select("gid", "pins")
     if variants is not None:

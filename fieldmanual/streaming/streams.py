@@ -15,14 +15,16 @@ from fieldmanual.functions.text import short_id, whole_or_sections
 from fieldmanual.operators import cases
 from fieldmanual.operators.ordered import keep_spaced
 
-HOUR_US = 3_600_000_000
+DAY_US = 86_400_000_000
 
 
 def throttle_events(events: DataFrame, keys: Sequence[str] = ("uid", "ip", "action"), seconds: int = 60, ts: str = "ts",
-                    ok: str = "ok", ident: str = "id", last_kept: DataFrame | None = None) -> DataFrame:
+                    ok: str = "ok", ident: str = "id", last_kept: DataFrame | None = None,
+                    block_us: int = DAY_US) -> DataFrame:
     """Keep a success only ``seconds`` after the last kept event of its key; failures are always kept.
 
-    Keys are cut into hours, so one busy key is spread over many tasks.  ``last_kept`` (keys, ts) carries
+    Keys are cut into blocks of ``block_us`` (a day; less for busier keys), so one busy key is spread
+    over many tasks.  ``last_kept`` (keys, ts) carries
     the state of an earlier batch.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -32,7 +34,7 @@ def throttle_events(events: DataFrame, keys: Sequence[str] = ("uid", "ip", "acti
                                 F.lit(-1).cast("long").alias("__id"), F.lit(True).alias("__fail"))
         rows = rows.unionByName(past)
     marked = keep_spaced(rows, keys, "__us", F.col("__us"), F.col("__us"), seconds * 1_000_000,
-                         force=F.col("__fail"), out="__kept", width=HOUR_US, tie="__id")
+                         force=F.col("__fail"), out="__kept", width=block_us, tie="__id")
     kept = marked.filter("__kept and __id >= 0").select(F.col("__id").alias(ident))
     return events.join(kept, ident, "left_semi")
 
