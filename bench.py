@@ -25,7 +25,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = set(sys.argv[1:])
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus)
-             .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+             .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).groupBy("id").count().write.format("noop").mode("overwrite").save()

@@ -78,14 +78,13 @@ def sentences(c) -> Column:
     return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda s: s != "")
 
 
-def pack_sentences(c, size: int = 512, overlap: int = 64) -> Column:
+def pack_sentences(c, size: int = 512) -> Column:
     """array<string> of chunks of at most ``size`` words made of whole sentences.
 
-    Each later chunk is preceded by the last ``overlap`` words of the chunk before it.  A sentence
-    longer than ``size`` words is a chunk of its own.  The counting rule is ours.
+    A sentence longer than ``size`` words is a chunk of its own.  The counting rule is ours.
     """
     def words(s):
-        return F.size(F.split(s, r"\s+"))
+        return F.regexp_count(s, F.lit(r"\s+")) + 1
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"),
                      F.lit(0).alias("n"))
@@ -99,8 +98,16 @@ def pack_sentences(c, size: int = 512, overlap: int = 64) -> Column:
             F.when(flush, w).otherwise(acc["n"] + w).alias("n"),
         )
 
-    chunks = F.aggregate(sentences(c), start, add, lambda a: F.when(
+    return F.aggregate(sentences(c), start, add, lambda a: F.when(
         a["n"] > 0, F.concat(a["done"], F.array(a["buf"]))).otherwise(a["done"]))
+
+
+def overlap_chunks(chunks, overlap: int) -> Column:
+    """Each later chunk preceded by the last ``overlap`` words of the chunk before it.
+
+    ``chunks`` must be a stored column: the lambda reads it once per chunk.
+    """
+    chunks = col(chunks)
     if overlap <= 0:
         return chunks
 

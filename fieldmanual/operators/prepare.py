@@ -30,11 +30,11 @@ def split_sections(df: DataFrame, keep: Sequence[str], text: str = "text") -> Da
 def chunk_parent_child(df: DataFrame, keep: Sequence[str], text: str = "text", child: int = 256,
                        overlap: int = 32, min_len: int = 20) -> DataFrame:
     """Every section of ``min_len`` characters is a parent; longer than ``child`` characters, also children."""
-    parts = (df.filter(F.length(text) >= min_len)
-             .withColumn("parent_hash", tx.short_id(text)))
+    parts = (df.filter(F.length(text) >= min_len).withColumn("parent_hash", tx.short_id(text))
+             .withColumn("__chunks", F.when(F.length(text) > child, tx.pack_sentences(text, child))))
     one = F.struct(F.lit("parent").alias("chunk_type"), F.lit(None).cast("string").alias("parent_hash"),
                    F.lit(0).alias("chunk_no"), F.col(text).alias("chunk"))
-    many = F.transform(tx.pack_sentences(text, child, overlap), lambda c, i: F.struct(
+    many = F.transform(tx.overlap_chunks("__chunks", overlap), lambda c, i: F.struct(
         F.lit("child").alias("chunk_type"), F.col("parent_hash").alias("parent_hash"),
         (i + 1).alias("chunk_no"), c.alias("chunk")))
     rows = F.when(F.length(text) > child, F.concat(F.array(one), many)).otherwise(F.array(one))
@@ -44,7 +44,8 @@ def chunk_parent_child(df: DataFrame, keep: Sequence[str], text: str = "text", c
 
 def chunk_sentences(df: DataFrame, keep: Sequence[str], text: str = "text", size: int = 512,
                     overlap: int = 64) -> DataFrame:
-    return (df.select(*keep, F.posexplode(tx.pack_sentences(text, size, overlap)).alias("chunk_no", "chunk"))
+    packed = df.select(*keep, tx.pack_sentences(text, size).alias("__chunks"))
+    return (packed.select(*keep, F.posexplode(tx.overlap_chunks("__chunks", overlap)).alias("chunk_no", "chunk"))
             .withColumn("chunk_hash", tx.short_id("chunk")))
 
 
