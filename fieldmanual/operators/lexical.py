@@ -54,9 +54,13 @@ def terms_in_words(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     term_grams = (t.select("term", "g", F.explode(tx.tails("term", 3)).alias("tail")).filter(F.length("tail") >= F.col("g"))
                   .select("term", F.substr("tail", F.lit(1), F.col("g")).alias("gram")).distinct())
     wanted = term_grams.select("gram").distinct()
-    heads = F.explode(F.array(*[F.substring("tail", 1, n) for n in (1, 2, 3)]))
-    word_grams = (vocab.select("word").distinct().select("word", F.explode(tx.tails("word", 3)).alias("tail"))
-                  .select("word", heads.alias("gram")).join(wanted, "gram", "left_semi"))
+    # At most three lengths, in one row.
+    sizes = F.broadcast(t.agg(F.collect_set("g").alias("sizes")))
+    heads = F.transform(F.filter("sizes", lambda n: n <= F.length("tail")), lambda n: F.substr(F.col("tail"), F.lit(1), n))
+    word_grams = (vocab.select("word").distinct().join(sizes, F.lit(True))
+                  .select("word", "sizes", F.explode(tx.tails("word", 3)).alias("tail"))
+                  .select("word", F.explode(heads).alias("gram")).join(wanted, "gram", "left_semi"))
+    word_grams = cut_lineage(word_grams)
     # The rarest gram is chosen on counts; a term with an unseen gram matches nothing.
     weight = word_grams.groupBy("gram").agg(F.count("*").alias("words"))
     anchor = (term_grams.join(weight, "gram", "left").groupBy("term")

@@ -10,8 +10,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+# Tables whose rows are long texts, with their key.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 class Tables:
-    """The given tables of one scale folder, read on demand."""
+    """The given tables of one scale folder, read on demand.
+
+    A text table stored in fewer splits than there are cores is spread by its key, because parsing
+    text costs more than moving it.  A large table has splits enough and is read in place.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -19,7 +27,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, TEXT_TABLES[name])
+        return df
 
 
 def query(name: str, sql: str | None = None):

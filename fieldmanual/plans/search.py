@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldmanual.functions import questions as qs
 from fieldmanual.functions import text as tx
 from fieldmanual.operators import fusion, lexical, retrieve, tokens, vectors
-from fieldmanual.operators.ordered import top_k
+from fieldmanual.operators.ordered import cut_lineage, top_k
 from fieldmanual.plans.registry import Tables, query
 
 
@@ -288,8 +288,8 @@ def text_vectors(t: Tables):
 @query("text_similarity", f"WITH sq AS (SELECT item_id AS query_id, text AS question FROM benchmark), {TFIDF}, {QTFIDF} SELECT query_id, seq, round(score, 4) AS score FROM sparse_hits")
 def text_similarity(t: Tables):
     p = passages(t)
-    vocab = vectors.text_vocabulary(p, "seq")
-    corpus = vectors.text_vectors(p, "seq", vocabulary=vocab)
+    vocab = cut_lineage(vectors.text_vocabulary(p, "seq"))
+    corpus = cut_lineage(vectors.text_vectors(p, "seq", vocabulary=vocab))
     q = vectors.text_vectors(asked(t), "query_id", "question", vocab)
     return vectors.sparse_topk(q, corpus).select("query_id", "seq", F.round("score", 4).alias("score"))
 
