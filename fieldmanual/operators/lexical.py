@@ -76,6 +76,23 @@ def term_passages(terms: DataFrame, postings: DataFrame, seq: str = "seq") -> Da
     return postings.join(found, "word").select("term", seq).distinct()
 
 
+def term_frequencies(terms: DataFrame, passages: DataFrame, postings: DataFrame, seq: str = "seq", text: str = "text") -> DataFrame:
+    """(term, df): number of passages that contain each term.
+
+    Terms of up to three characters occur nearly everywhere, so they are read off the distinct grams of
+    each passage; longer ones go through the vocabulary.
+    """
+    t = terms.select("term").distinct().withColumn("g", F.length("term"))
+    short = t.filter("g <= 3")
+    sizes = F.broadcast(short.agg(F.collect_set("g").alias("sizes")))
+    heads = F.flatten(F.transform(tx.tails(F.lower(text), 3), lambda x: F.transform(
+        F.filter("sizes", lambda n: n <= F.length(x)), lambda n: F.substr(x, F.lit(1), n))))
+    by_gram = (passages.join(sizes, F.lit(True)).select(F.explode(F.array_distinct(heads)).alias("term"))
+               .join(short.select("term"), "term").groupBy("term").agg(F.count("*").alias("df")))
+    by_word = (term_passages(t.filter("g > 3"), postings, seq).groupBy("term").agg(F.count("*").alias("df")))
+    return by_gram.unionByName(by_word)
+
+
 def candidates(prepared: DataFrame, postings: DataFrame, key: str, seq: str) -> DataFrame:
     """(key, seq) of the passages that contain the anchor term of a query."""
     anchors = prepared.select(key, F.col("anchor").alias("term"))
@@ -128,8 +145,7 @@ def search_bm25(passages: DataFrame, queries: DataFrame, key: str = "query_id",
                          ).select(key, seq, "len", "x.*")
     # A few rows per verified hit, read for the term counts and for the scores.
     tf = cut_lineage(tf)
-    df = (term_passages(tf.select("term").distinct(), postings, seq)
-          .groupBy("term").agg(F.count("*").alias("df")))
+    df = term_frequencies(tf, passages, postings, seq, text)
     # One row, so the product is a plain column append.
     stats = F.broadcast(passage_stats(passages, text))
     idf = F.greatest(F.log((F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
