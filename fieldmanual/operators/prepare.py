@@ -61,8 +61,8 @@ def assign_page(sections: DataFrame, pages: DataFrame, keys: Sequence[str], posi
                             F.lit(None).cast("long").alias("__page"), F.lit(None).alias("__row")).distinct()
     axis = page_rows.unionByName(asked).withColumn("__q", F.col("__p").cast("long") * 2 + F.col("__k"))
     found = od.carry(axis, keys, "__q", F.col("__page"), "page").filter("__k = 1")
-    return (sections.join(found.select(*keys, F.col("__p").alias(position), F.coalesce("page", F.lit(1)).alias("page")),
-                          [*keys, position], "left").withColumn("page", F.coalesce("page", F.lit(1))))
+    pages_at = found.groupBy(*keys, F.col("__p").alias(position)).agg(F.max("page").alias("page"))
+    return (sections.join(pages_at, [*keys, position], "left").withColumn("page", F.coalesce("page", F.lit(1))))
 
 
 def section_position(body: Column, full_text: Column, probe: int = 50) -> Column:
