@@ -1 +1,10 @@
-"""PySpark operators for building, securing and querying a technical-document knowledge base."""
+"""PySpark operators for technical-document knowledge bases.
+
+Functions of this package that run in Python workers travel by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
