@@ -305,18 +305,25 @@ def close_sketches(pairs: DataFrame, places: DataFrame, percent: int) -> DataFra
     return met.mapInPandas(keep, "a long, b long")
 
 
-def linked_pairs(pairs: DataFrame, places: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The distinct pairs ``a, b`` whose sets, built again from the texts, reach the threshold.
+def wanted_texts(nodes: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node``, ``text``: one text for each of the sets named in ``nodes``.
 
-    ``places`` says which row of ``texts`` (key, text hash) holds a set, with its sketch.  The pairs of one ``a`` are
-    dealt over slices; a slice reads the set of ``a`` first and meets the others one by one.
+    ``places`` says which row of ``texts`` (key, text hash) holds a set.  The texts move once, for all later rounds.
     """
-    asked = stored(close_sketches(pairs, places, percent)).withColumn("slice", F.pmod(F.hash("b"), F.lit(SLICES)))
+    placed = nodes.distinct().join(places.select("node", "doc_id", "at_hash"), "node")
+    found = placed.join(texts.withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("at_hash") == F.col("text_hash")))
+    return found.select("node", "text").dropDuplicates(["node"])
+
+
+def linked_pairs(asked: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+    """The distinct pairs ``a, b`` whose sets, built again from the texts in ``held``, reach the threshold.
+
+    The pairs of one ``a`` are dealt over slices; a slice reads the set of ``a`` first and meets the others one by one.
+    """
+    asked = asked.withColumn("slice", F.pmod(F.hash("b"), F.lit(SLICES)))
     wanted = asked.select("a", "slice", F.lit(0).alias("part"), F.col("a").alias("node")).distinct().unionByName(
         asked.select("a", "slice", F.lit(1).alias("part"), F.col("b").alias("node")))
-    placed = wanted.join(places.select("node", "doc_id", "at_hash"), "node")
-    found = placed.join(texts.withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("at_hash") == F.col("text_hash")))
-    ordered = found.select("a", "slice", "part", "node", "text").repartition("a", "slice").sortWithinPartitions("a", "slice", "part", "node")
+    ordered = wanted.join(held, "node").select("a", "slice", "part", "node", "text").repartition("a", "slice").sortWithinPartitions("a", "slice", "part", "node")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, name, held = Shingler(width), None, None
@@ -354,14 +361,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def close_large_regions(members: DataFrame, links: DataFrame, places: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def close_large_regions(members: DataFrame, links: DataFrame, places: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
     """All links needed to tell the classes of the members of large regions apart, added to ``links``.
 
     Every round checks a region's next pivots against all members of other classes and retires them; pivots come
     from the smallest classes first.  A region ends with one class or without members.
     """
     pivots = 1
-    members = stored(members.distinct())
     while not members.isEmpty():
         labels = components(links).select(F.col("node").alias("__n"), "component")
         labelled = members.join(labels, F.col("node") == F.col("__n"), "left").select("h", "node", "n", F.coalesce("component", "node").alias("class"))
@@ -375,7 +381,7 @@ def close_large_regions(members: DataFrame, links: DataFrame, places: DataFrame,
         chosen = ranked.select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("class").alias("of"))
         fits = (F.least("n", "an") * 100 >= F.greatest("n", "an") * percent) & (F.col("of") != F.col("class"))
         asked = chosen.join(alive, "h").where(fits).select("a", F.col("node").alias("b"))
-        links = stored(links.unionByName(linked_pairs(asked, places, texts, width, percent)))
+        links = stored(links.unionByName(linked_pairs(stored(close_sketches(asked, places, percent)), held, width, percent)))
         members = stored(alive.join(chosen.select("h", F.col("a").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n"))
         pivots *= 8
     return links
@@ -392,13 +398,16 @@ def jaccard_join(documents: DataFrame, percent: int = 75, width: int = 5, key: s
     """
     texts = documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
     frequent = frequent_shingles(texts, width, sample_rows)
-    # One pass over the texts; what follows reads windows, and texts again only for pairs that bounds leave open.
+    # One pass over the texts; what follows reads windows, and texts once more for sets that bounds leave open.
     windows = stored(shingle_windows(texts, width, percent, frequent))
     places = stored(windows.where("sketch is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("p"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).select(
         "node", "p.doc_id", F.col("p.text_hash").alias("at_hash"), "n", "sketch"))
     regions = stored(region_pairs(windows, percent))
-    links = stored(linked_pairs(promising_pairs(regions, percent), places, texts, width, percent))
-    links = close_large_regions(regions.where("b is null").select("h", F.col("a").alias("node"), F.col("an").alias("n")), links, places, texts, width, percent)
+    asked = stored(close_sketches(promising_pairs(regions, percent), places, percent))
+    members = stored(regions.where("b is null").select("h", F.col("a").alias("node"), F.col("an").alias("n")).distinct())
+    nodes = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).unionByName(members.select("node"))
+    held = stored(wanted_texts(nodes, places, texts))
+    links = close_large_regions(members, stored(linked_pairs(asked, held, width, percent)), places, held, width, percent)
     labels = components(links).withColumnRenamed("node", "__n")
     classed = windows.select("doc_id", "node", "n_shingles").join(labels, (F.col("node") == F.col("__n")) & (F.col("n_shingles") > 0), "left")
     classed = classed.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
