@@ -23,7 +23,7 @@ from fieldmanual.llm.common import part_of, stored
 
 SMALL_REGION = 32
 SLICES = 64
-SKETCH = 256
+SKETCH, FINE = 256, 2048  # cells of a sketch; the finer one for sets of more than FINE / 3 shingles
 
 
 class Shingler:
@@ -128,7 +128,23 @@ def _alike(a, b, percent: int):
 
 def _sketch(shingles: np.ndarray) -> bytes:
     """Shingles per cell of the hash space.  The sum of differences of two sketches never exceeds the sets' difference."""
-    return np.minimum(np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    bits, cells = (53, FINE) if len(shingles) * 3 > FINE else (56, SKETCH)
+    return np.minimum(np.bincount((shingles >> np.uint64(bits)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def _apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Sum of differences of each two sketches; a fine one is folded where the other is not."""
+    out = np.zeros(len(a), np.int64)
+    fine = np.array([[len(s) == FINE for s in a], [len(s) == FINE for s in b]], bool).reshape(2, -1)
+    for fa, fb in ((False, False), (False, True), (True, False), (True, True)):
+        rows = np.flatnonzero((fine[0] == fa) & (fine[1] == fb))
+        for low in range(0, len(rows), 2048):
+            some = rows[low:low + 2048]
+            x, y = (np.frombuffer(b"".join(s[i] for i in some), np.uint8).reshape(len(some), -1).astype(np.int16) for s in (a, b))
+            if fa != fb:
+                x, y = (np.minimum(s.reshape(len(some), SKETCH, -1).sum(axis=2), 255) for s in (x, y))
+            out[some] = np.abs(x.astype(np.int32) - y).sum(axis=1)
+    return out
 
 
 def frequent_shingles(texts: DataFrame, width: int, sample_rows: int) -> np.ndarray:
@@ -297,8 +313,7 @@ def close_sketches(pairs: DataFrame, places: DataFrame, percent: int) -> DataFra
         for batch in batches:
             if batch.empty:
                 continue
-            a, b = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("as", "bs"))
-            apart = np.abs(a - b).sum(axis=1, dtype=np.int64)
+            apart = _apart(batch["as"].tolist(), batch["bs"].tolist())
             fits = apart * (100 + percent) <= (100 - percent) * (batch["an"].to_numpy() + batch["bn"].to_numpy())
             yield batch.loc[fits, ["a", "b"]]
 
@@ -306,13 +321,13 @@ def close_sketches(pairs: DataFrame, places: DataFrame, percent: int) -> DataFra
 
 
 def wanted_texts(nodes: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
-    """``node``, ``text``: one text for each of the sets named in ``nodes``.
+    """``node``, ``text``, ``n``, ``sketch``: one text for each of the sets named in ``nodes``.
 
     ``places`` says which row of ``texts`` (key, text hash) holds a set.  The texts move once, for all later rounds.
     """
-    placed = nodes.distinct().join(places.select("node", "doc_id", "at_hash"), "node")
+    placed = nodes.distinct().join(places, "node")
     found = placed.join(texts.withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("at_hash") == F.col("text_hash")))
-    return found.select("node", "text").dropDuplicates(["node"])
+    return found.select("node", "text", "n", "sketch").dropDuplicates(["node"])
 
 
 def linked_pairs(asked: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
@@ -323,7 +338,7 @@ def linked_pairs(asked: DataFrame, held: DataFrame, width: int, percent: int) ->
     asked = asked.withColumn("slice", F.pmod(F.hash("b"), F.lit(SLICES)))
     wanted = asked.select("a", "slice", F.lit(0).alias("part"), F.col("a").alias("node")).distinct().unionByName(
         asked.select("a", "slice", F.lit(1).alias("part"), F.col("b").alias("node")))
-    ordered = wanted.join(held, "node").select("a", "slice", "part", "node", "text").repartition("a", "slice").sortWithinPartitions("a", "slice", "part", "node")
+    ordered = wanted.join(held.select("node", "text"), "node").select("a", "slice", "part", "node", "text").repartition("a", "slice").sortWithinPartitions("a", "slice", "part", "node")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, name, held = Shingler(width), None, None
@@ -361,7 +376,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def close_large_regions(members: DataFrame, links: DataFrame, places: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+def close_large_regions(members: DataFrame, links: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
     """All links needed to tell the classes of the members of large regions apart, added to ``links``.
 
     Every round checks a region's next pivots against all members of other classes and retires them; pivots come
@@ -381,7 +396,7 @@ def close_large_regions(members: DataFrame, links: DataFrame, places: DataFrame,
         chosen = ranked.select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("class").alias("of"))
         fits = (F.least("n", "an") * 100 >= F.greatest("n", "an") * percent) & (F.col("of") != F.col("class"))
         asked = chosen.join(alive, "h").where(fits).select("a", F.col("node").alias("b"))
-        links = stored(links.unionByName(linked_pairs(stored(close_sketches(asked, places, percent)), held, width, percent)))
+        links = stored(links.unionByName(linked_pairs(stored(close_sketches(asked, held, percent)), held, width, percent)))
         members = stored(alive.join(chosen.select("h", F.col("a").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n"))
         pivots *= 8
     return links
@@ -407,7 +422,7 @@ def jaccard_join(documents: DataFrame, percent: int = 75, width: int = 5, key: s
     members = stored(regions.where("b is null").select("h", F.col("a").alias("node"), F.col("an").alias("n")).distinct())
     nodes = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).unionByName(members.select("node"))
     held = stored(wanted_texts(nodes, places, texts))
-    links = close_large_regions(members, stored(linked_pairs(asked, held, width, percent)), places, held, width, percent)
+    links = close_large_regions(members, stored(linked_pairs(asked, held, width, percent)), held, width, percent)
     labels = components(links).withColumnRenamed("node", "__n")
     classed = windows.select("doc_id", "node", "n_shingles").join(labels, (F.col("node") == F.col("__n")) & (F.col("n_shingles") > 0), "left")
     classed = classed.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
