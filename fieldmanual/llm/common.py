@@ -45,3 +45,8 @@ def part_of(df: DataFrame, key: str, wanted: int) -> DataFrame:
     """About ``wanted`` rows (all, if there are fewer), chosen by a hash of the key."""
     step = max(1, df.count() // max(1, wanted))
     return df if step == 1 else df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(step)) == 0)
+
+
+def sent_whole(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """``df`` (stored, narrow rows) as a broadcast side while it has at most ``most_rows`` rows; beyond, left to shuffle."""
+    return F.broadcast(df) if df.count() <= most_rows else df

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmanual.llm.common import part_of, stored
+from fieldmanual.llm.common import part_of, sent_whole, stored
 
 SMALL_REGION = 32
 SLICES = 64
@@ -168,22 +168,23 @@ def frequent_shingles(texts: DataFrame, width: int, sample_rows: int) -> np.ndar
 
 
 def shingle_windows(texts: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``node`` (name of the set), ``n_shingles``, ``pivots`` (the window), ``common`` (how many of them are frequent), ``sketch``.
+    """``doc_id``, ``text_hash``, ``node`` (name of the set), ``n_shingles``, ``pivots`` (the window), ``common`` (how many of them are frequent), ``sketch``, ``keys``.
 
-    The last three are null for a set that the task has seen before.
+    ``keys`` are minima of two random orders; sets with an equal one are likely alike.  The last four are null for a set that the task has seen before.
     """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, seen = Shingler(width), set()
         for batch in batches:
-            nodes, sizes, windows, common, sketches = [], [], [], [], []
+            nodes, sizes, windows, common, sketches, keys = [], [], [], [], [], []
             for s in shingle.sets(batch["text"].tolist()):
                 n = len(s)
                 node = shingle.node(s) if n else 0
-                window = many = sketch = None
+                window = many = sketch = key = None
                 if n and node not in seen:
                     seen.add(node)
                     sketch, size, many = _sketch(s), _window(n, percent), 0
+                    key = np.array([s[0], (s * np.uint64(0xD1342543DE82EF95)).min()], np.uint64).view(np.int64)
                     if len(frequent):
                         often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                         rare = s[~often]
@@ -195,25 +196,35 @@ def shingle_windows(texts: DataFrame, width: int, percent: int, frequent: np.nda
                 windows.append(window)
                 common.append(many)
                 sketches.append(sketch)
+                keys.append(key)
             rows = {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "node": np.array(nodes, np.int64), "n_shingles": np.array(sizes, np.int64)}
             more = {"pivots": pd.Series(windows, dtype=object, index=batch.index), "common": pd.Series(common, dtype="Int32", index=batch.index),
-                    "sketch": pd.Series(sketches, dtype=object, index=batch.index)}
+                    "sketch": pd.Series(sketches, dtype=object, index=batch.index), "keys": pd.Series(keys, dtype=object, index=batch.index)}
             yield pd.DataFrame(rows | more)
 
     kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInPandas(build, f"doc_id {kind}, text_hash long, node long, n_shingles long, pivots array<long>, common int, sketch binary")
+    return texts.mapInPandas(build, f"doc_id {kind}, text_hash long, node long, n_shingles long, pivots array<long>, common int, sketch binary, keys array<long>")
 
 
-ROW = np.dtype([("h", "<i8"), ("node", "<i8"), ("n", "<i4")])
+def likely_pairs(windows: DataFrame) -> DataFrame:
+    """Pairs of every set with the least set that shares a key of it: one or two per set, for a first guess at classes."""
+    keyed = windows.where(F.col("keys").isNotNull()).select("node", F.posexplode("keys").alias("i", "key")).distinct()
+    first = keyed.groupBy("i", "key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
+    return keyed.join(first, ["i", "key"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def region_pairs(windows: DataFrame, percent: int, bucket_rows: int = 2048) -> DataFrame:
+ROW = np.dtype([("h", "<i8"), ("node", "<i8"), ("class", "<i8"), ("n", "<i4")])
+
+
+def region_pairs(windows: DataFrame, labels: DataFrame, percent: int, bucket_rows: int = 2048) -> DataFrame:
     """Candidate pairs of small regions (``h`` null), and the members of large ones (``b`` null), in one table.
 
+    ``labels`` are the classes known so far: pairs inside a class and regions of one class are settled and left out.
     Rows of rare pivots travel in packed blocks, one per bucket of the hash space; there is a bucket for every
     ``bucket_rows`` documents.  Regions of frequent pivots are large by presumption and never packed.
     """
-    copied = windows.where(F.col("pivots").isNotNull()).select("node", F.col("n_shingles").cast("int").alias("n"), "pivots", "common")
+    copied = windows.where(F.col("pivots").isNotNull()).select("node", F.col("n_shingles").cast("int").alias("n"), "pivots", "common").join(
+        sent_whole(labels.withColumnRenamed("node", "__n")), F.col("node") == F.col("__n"), "left").select("node", "n", "pivots", "common", F.coalesce("component", "node").alias("class"))
     buckets = max(1, windows.count() // bucket_rows)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +234,8 @@ def region_pairs(windows: DataFrame, percent: int, bucket_rows: int = 2048) -> D
                 lengths = rows["pivots"].map(len).to_numpy()
                 packed = np.empty(int(lengths.sum()), ROW)
                 packed["h"] = np.concatenate(rows["pivots"].tolist())
-                packed["node"], packed["n"] = np.repeat(rows["node"].to_numpy(), lengths), np.repeat(rows["n"].to_numpy(), lengths)
+                for name in ("node", "class", "n"):
+                    packed[name] = np.repeat(rows[name].to_numpy(), lengths)
                 behind = np.arange(len(packed)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 often = behind >= np.repeat(lengths - rows["common"].to_numpy(), lengths)
                 bucket = ((packed["h"].view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
@@ -247,22 +259,25 @@ def region_pairs(windows: DataFrame, percent: int, bucket_rows: int = 2048) -> D
             same = rows["h"][1:] == rows["h"][:-1]
             rows = rows[np.append(False, same) | np.append(same, False)]
             rows = rows[np.lexsort((rows["node"], rows["h"]))]
-            h, node, n = (np.ascontiguousarray(rows[c]) for c in ("h", "node", "n"))
+            h, node, n, known = (np.ascontiguousarray(rows[c]) for c in ("h", "node", "n", "class"))
             fresh = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))[:len(h)]
-            h, node, n = h[fresh], node[fresh], n[fresh].astype(np.int64)
+            h, node, n, known = h[fresh], node[fresh], n[fresh].astype(np.int64), known[fresh]
+            if not len(h):
+                return
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])[:len(h)])
             sizes = np.diff(np.append(starts, len(h)))
+            mixed = np.repeat(np.minimum.reduceat(known, starts) < np.maximum.reduceat(known, starts), sizes)
             of_row = np.repeat(sizes, sizes)
-            big = of_row > SMALL_REGION
+            big = (of_row > SMALL_REGION) & mixed
             if big.any():
                 yield frame(node[big], n[big], h=h[big])
-            few = (of_row > 1) & ~big
-            h, node, n = h[few], node[few], n[few]
+            few = (of_row <= SMALL_REGION) & mixed
+            h, node, n, known = h[few], node[few], n[few], known[few]
             for step in range(1, min(SMALL_REGION, len(h))):
                 i = np.flatnonzero(h[step:] == h[:-step])
                 if not len(i):
                     break
-                i = i[_alike(n[i], n[i + step], percent)]
+                i = i[(known[i] != known[i + step]) & _alike(n[i], n[i + step], percent)]
                 if len(i):
                     yield frame(node[i], n[i], node[i + step], n[i + step])
 
@@ -325,9 +340,9 @@ def wanted_texts(nodes: DataFrame, places: DataFrame, texts: DataFrame) -> DataF
 
     ``places`` says which row of ``texts`` (key, text hash) holds a set.  The texts move once, for all later rounds.
     """
-    placed = nodes.distinct().join(places, "node")
-    found = placed.join(texts.withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("at_hash") == F.col("text_hash")))
-    return found.select("node", "text", "n", "sketch").dropDuplicates(["node"])
+    placed = stored(nodes.distinct().join(places.drop("sketch"), "node"))
+    found = sent_whole(placed).join(texts.withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("at_hash") == F.col("text_hash")))
+    return found.select("node", "text").dropDuplicates(["node"]).join(places.select("node", "n", "sketch"), "node")
 
 
 def linked_pairs(asked: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
@@ -417,12 +432,14 @@ def jaccard_join(documents: DataFrame, percent: int = 75, width: int = 5, key: s
     windows = stored(shingle_windows(texts, width, percent, frequent))
     places = stored(windows.where("sketch is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("p"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).select(
         "node", "p.doc_id", F.col("p.text_hash").alias("at_hash"), "n", "sketch"))
-    regions = stored(region_pairs(windows, percent))
+    both = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    likely = stored(close_sketches(likely_pairs(windows), places, percent))
+    links = stored(linked_pairs(likely, stored(wanted_texts(both(likely), places, texts)), width, percent))
+    regions = stored(region_pairs(windows, components(links), percent))
     asked = stored(close_sketches(promising_pairs(regions, percent), places, percent))
     members = stored(regions.where("b is null").select("h", F.col("a").alias("node"), F.col("an").alias("n")).distinct())
-    nodes = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).unionByName(members.select("node"))
-    held = stored(wanted_texts(nodes, places, texts))
-    links = close_large_regions(members, stored(linked_pairs(asked, held, width, percent)), held, width, percent)
+    held = stored(wanted_texts(both(asked).unionByName(members.select("node")), places, texts))
+    links = close_large_regions(members, stored(links.unionByName(linked_pairs(asked, held, width, percent))), held, width, percent)
     labels = components(links).withColumnRenamed("node", "__n")
     classed = windows.select("doc_id", "node", "n_shingles").join(labels, (F.col("node") == F.col("__n")) & (F.col("n_shingles") > 0), "left")
     classed = classed.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
