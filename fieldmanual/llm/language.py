@@ -43,6 +43,8 @@ def word_counts(labelled: DataFrame, text: str = "text", lang: str = "lang", mos
 
         def out():
             for language, counts in held.items():
+                if not counts:
+                    continue
                 yield pd.DataFrame({"lang": language, "word": list(counts.keys()), "count": list(counts.values())})
             held.clear()
 

@@ -50,7 +50,8 @@ def vocabulary(documents: DataFrame, text: str, most: int, most_held: int = 300_
             if len(held) > most_held:
                 yield pd.DataFrame({"word": list(held.keys()), "count": list(held.values())})
                 held = Counter()
-        yield pd.DataFrame({"word": list(held.keys()), "count": list(held.values())})
+        if held:
+            yield pd.DataFrame({"word": list(held.keys()), "count": list(held.values())})
 
     counts = documents.select(F.col(text).alias("text")).mapInPandas(count, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
     return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(most).collect()]

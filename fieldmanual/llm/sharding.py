@@ -88,15 +88,15 @@ def contiguous_cuts(groups: DataFrame, shards: int, first_bits: int = 14, step_b
 def shard_documents(documents: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
     """Give every document a shard and a slot; sizes of shards are as near equal as whole text groups allow.
 
-    A document's size is the UTF-8 length of its text (0 where null) plus ``overhead``.  Equal texts, and all null
-    texts, stay together.  Rows with equal keys are separate documents.  Slots count from 0 in each shard without
+    A document's size is the UTF-8 length of its text (0 where null) plus ``overhead``.  Equal texts stay
+    together, null ones with empty ones.  Rows with equal keys are separate documents.  Slots count from 0 in each shard without
     a gap.  An empty table gives no rows; a shard may stay empty where one group is larger than its share.
     Columns besides key and text are ignored.
     """
     slim = documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     base = stored(slim.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("size"),
-        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64("text").alias("order_key"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("order_key"),
         F.spark_partition_id().alias("split")))
     cuts, _ = contiguous_cuts(base, shards)
     shard = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("order_key"))) if cuts else F.lit(0)
