@@ -232,7 +232,7 @@ def entry_visible(entries: DataFrame, cases: DataFrame, principal: Mapping | Non
 
 
 def search_entries(entries: DataFrame, keyword: str = "", haystack: Sequence[str] = ("title", "error_code", "unit"),
-                   limit: int | None = 5000, **filters) -> DataFrame:
+                   limit: int | None = None, **filters) -> DataFrame:
     """Equality filters and keywords; field before manufacturer, then occurrences, last date, id."""
     df = entries
     for c, v in filters.items():

@@ -149,7 +149,7 @@ def search_bm25(passages: DataFrame, queries: DataFrame, key: str = "query_id",
     # One row, so the product is a plain column append.
     stats = F.broadcast(passage_stats(passages, text))
     idf = F.greatest(F.log((F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.nullif(F.col("avg_len"), F.lit(0))))
     scored = (tf.join(df, "term").join(stats, F.lit(True)).groupBy(key, seq)
               .agg((-F.round(F.sum(part), 6)).alias("score")))
     return top_k(scored, [key], [F.col("score"), F.col(seq)], limit) if limit else scored
@@ -195,7 +195,7 @@ def retrieve_lexical(passages: DataFrame, questions: DataFrame, key: str = "quer
     back = hits.join(long.select("ask_id", key, "term_order"), "ask_id")
     back = back.filter((F.col("term_order") == 0) | (F.col("rank") <= extra_limit))
     return back.select(key, seq, "score", "term_order", "rank",
-                       (F.col("term_order") * 1000 + F.col("rank")).alias("position"))
+                       (F.col("term_order") * max(1000, (limit or 0) + 1, extra_limit + 1) + F.col("rank")).alias("position"))
 
 
 def index_status(passages: DataFrame, doc: str = "doc_id") -> DataFrame:

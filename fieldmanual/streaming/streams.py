@@ -28,14 +28,14 @@ def throttle_events(events: DataFrame, keys: Sequence[str] = ("uid", "ip", "acti
     the state of an earlier batch.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = events.select(*keys, us.alias("__us"), F.col(ident).cast("long").alias("__id"), (~F.col(ok)).alias("__fail"))
+    rows = events.select(*keys, us.alias("__us"), F.col(ident).cast("long").alias("__id"), (~F.col(ok)).alias("__fail"), F.lit(False).alias("__past"))
     if last_kept is not None:
         past = last_kept.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("__us"),
-                                F.lit(-1).cast("long").alias("__id"), F.lit(True).alias("__fail"))
+                                F.lit(-1).cast("long").alias("__id"), F.lit(True).alias("__fail"), F.lit(True).alias("__past"))
         rows = rows.unionByName(past)
     marked = keep_spaced(rows, keys, "__us", F.col("__us"), F.col("__us"), seconds * 1_000_000,
                          force=F.col("__fail"), out="__kept", width=block_us, tie="__id")
-    kept = marked.filter("__kept and __id >= 0").select(F.col("__id").alias(ident))
+    kept = marked.filter("__kept and not __past").select(F.col("__id").alias(ident))
     return events.join(kept, ident, "left_semi")
 
 

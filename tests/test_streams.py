@@ -64,3 +64,11 @@ def test_ingest_keeps_newest_version(spark):
     (src / "b.md").write_text("other text")
     streams.stream_ingest(spark, str(src), out, ck).awaitTermination(120)
     assert {(r.doc_name, r.text) for r in streams.current_documents(spark, out).collect()} == {("a.md", "second text"), ("b.md", "other text")}
+
+
+def test_throttle_keeps_negative_ids(spark):
+    rows = [(-5, "k", 0, True), (7, "k", 100, True), (-9, "k", 101, True), (-2, "k", 102, False)]
+    events = spark.createDataFrame(rows, "id long, uid string, s int, ok boolean").selectExpr("id", "uid", "timestamp_seconds(s) as ts", "ok")
+    last = spark.createDataFrame([("k", -200)], "uid string, s int").selectExpr("uid", "timestamp_seconds(s) as ts")
+    kept = streams.throttle_events(events, ["uid"], 60, last_kept=last)
+    assert sorted(r.id for r in kept.collect()) == [-5, -2, 7]
