@@ -46,14 +46,14 @@ def short_texts_whole(t: Tables):
 @query("repacked_paragraphs", r"""
 WITH RECURSIVE p AS (
   SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS para FROM (
-    SELECT doc_id, list_filter(string_split_regex(text, '\n+'), lambda x: trim(x) <> '') AS l FROM documents WHERE length(text) > 3072)),
+    SELECT doc_id, list_filter(string_split_regex(text, '\n+'), lambda x: trim(x) <> '') AS l FROM documents)),
 w AS (SELECT doc_id, i, 1 AS c, length(para) AS n FROM p WHERE i = 1
   UNION ALL SELECT p.doc_id, p.i, CASE WHEN w.n + length(p.para) > 3072 THEN w.c + 1 ELSE w.c END,
     CASE WHEN w.n + length(p.para) > 3072 THEN length(p.para) ELSE w.n + length(p.para) + 2 END
   FROM w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1)
 SELECT doc_id, CAST(c - 1 AS BIGINT) AS section_no, CAST(max(n) AS BIGINT) AS n FROM w GROUP BY doc_id, c""")
 def repacked_paragraphs(t: Tables):
-    docs = t.documents.filter(F.length("text") > 3072).withColumn(
+    docs = t.documents.withColumn(
         "text", F.array_join(F.filter(F.split("text", "\n+"), lambda x: F.trim(x) != ""), "\n\n"))
     return prepare.split_by_headings(docs, ["doc_id"]).select("doc_id", "section_no", F.length("text").cast("long").alias("n"))
 

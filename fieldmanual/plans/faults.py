@@ -266,12 +266,12 @@ def guide_items(t: Tables):
     return out.select("p_partkey", "unit", "error_code", F.element_at("detail", 1)["cause"].alias("first_cause"), F.size(F.element_at("detail", 1)["steps"]).alias("n_steps"))
 
 
-@query("resolved_references", """SELECT p_partkey, CASE WHEN p_size = 7 THEN 'Countermeasure 7（' || p_brand || '）：' || 'replace the worn seal' ELSE p_name END AS action FROM part WHERE p_size % 10 IN (7, 1) AND (p_size = 7 OR p_size % 10 = 1)""")
+@query("resolved_references", """SELECT p_partkey, CASE WHEN p_size = 7 THEN 'Countermeasure 7（' || p_brand || '）：' || 'replace the worn seal' ELSE p_name END AS action FROM part WHERE p_size = 7 OR p_size % 10 <> 7""")
 def resolved_references(t: Tables):
     text = F.concat(F.lit("|Countermeasure 7|"), "p_brand", F.lit("| replace the  worn seal |"))
     defs = cs.mine_definitions(t.part.select(F.col("p_brand").alias("doc_name"), F.col("p_partkey").alias("seq"), text.alias("text")))
     size = F.col("p_size")
-    acts = t.part.filter((size % 10).isin(7, 1)).select("p_partkey", F.col("p_brand").alias("doc_name"), F.when(size % 10 == 7, F.concat(F.lit("Countermeasure "), s("p_size"))).otherwise(F.col("p_name")).alias("action"))
+    acts = t.part.select("p_partkey", F.col("p_brand").alias("doc_name"), F.when(size % 10 == 7, F.concat(F.lit("Countermeasure "), s("p_size"))).otherwise(F.col("p_name")).alias("action"))
     return cs.resolve_references(acts, defs).select("p_partkey", "action")
 
 

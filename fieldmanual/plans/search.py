@@ -326,20 +326,21 @@ def question_kinds(t: Tables):
 
 
 @query("question_codes", r"""
-SELECT conv_id, turn, array_to_string(list_transform(list_distinct(list_transform(regexp_extract_all(text, '(?i)([a-z]{4}tion)', 1), lambda x: upper(x))), lambda x: x), ',') AS codes FROM conversations
-WHERE len(list_distinct(list_transform(regexp_extract_all(text, '(?i)([a-z]{4}tion)', 1), lambda x: upper(x)))) = 1""")
+WITH c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '(?i)([a-z]{4}tion)', 1), lambda x: upper(x)) AS l FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS codes FROM c""")
 def question_codes(t: Tables):
     codes = qs.extract_codes("text", "[a-z]{4}tion")
-    return t.conversations.filter(F.size(codes) == 1).select("conv_id", "turn", F.array_join(codes, ",").alias("codes"))
+    return t.conversations.select("conv_id", "turn", F.array_join(codes, ",").alias("codes"))
 
 
 @query("key_terms", r"""
-SELECT conv_id, turn, array_to_string(list_concat(CASE WHEN contains(lower(text), 'with') THEN ['with', 'avec'] ELSE [] END,
-  CASE WHEN contains(lower(text), 'the') THEN ['the'] ELSE [] END), ',') AS terms FROM conversations WHERE NOT regexp_matches(text, '[A-Z][A-Z0-9]')""")
+WITH w AS (SELECT conv_id, turn, list_concat(CASE WHEN contains(lower(text), 'with') THEN ['with', 'avec'] ELSE [] END,
+  CASE WHEN contains(lower(text), 'the') THEN ['the'] ELSE [] END, list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]{1,7}'))) AS l FROM conversations),
+v AS (SELECT *, list_transform(l, lambda x: lower(x)) AS k FROM w)
+SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(k, lower(x)) = i), ',') AS terms FROM v""")
 def key_terms(t: Tables):
     terms = qs.extract_key_terms("text", ["with", "the"], {"with": ["avec"]}, CODE)
-    plain = t.conversations.filter(~F.col("text").rlike("[A-Z][A-Z0-9]"))
-    return plain.select("conv_id", "turn", F.array_join(terms, ",").alias("terms"))
+    return t.conversations.select("conv_id", "turn", F.array_join(terms, ",").alias("terms"))
 
 
 @query("query_terms", r"""
