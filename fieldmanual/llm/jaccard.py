@@ -216,11 +216,25 @@ def likely_pairs(windows: DataFrame) -> DataFrame:
 ROW = np.dtype([("h", "<i8"), ("node", "<i8"), ("class", "<i8"), ("n", "<i4")])
 
 
+def _block(rows: np.ndarray) -> bytes:
+    """Rows byte by byte, all first bytes first, with the class as its difference from the node: mostly runs of zeros, which the shuffle's codec removes."""
+    rows = rows.copy()
+    rows["class"] ^= rows["node"]
+    return rows.view(np.uint8).reshape(-1, ROW.itemsize).T.tobytes()
+
+
+def _rows(block: bytes) -> np.ndarray:
+    rows = np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(ROW.itemsize, -1).T).view(ROW).ravel()
+    rows["class"] ^= rows["node"]
+    return rows
+
+
 def region_pairs(windows: DataFrame, labels: DataFrame, percent: int, bucket_rows: int = 2048) -> DataFrame:
     """Candidate pairs of small regions (``h`` null), and the members of large ones (``b`` null), in one table.
 
     ``labels`` are the classes known so far: pairs inside a class and regions of one class are settled and left out.
-    Rows of rare pivots travel in packed blocks, one per bucket of the hash space; there is a bucket for every
+    Pivots are told apart by the upper 48 bits of their hashes; two that agree there make one region, which only adds
+    candidates.  Rows of rare pivots travel in packed blocks, one per bucket of the hash space; there is a bucket for every
     ``bucket_rows`` documents.  Regions of frequent pivots are large by presumption and never packed.
     """
     copied = windows.where(F.col("pivots").isNotNull()).select("node", F.col("n_shingles").cast("int").alias("n"), "pivots", "common").join(
@@ -240,11 +254,12 @@ def region_pairs(windows: DataFrame, labels: DataFrame, percent: int, bucket_row
                 often = behind >= np.repeat(lengths - rows["common"].to_numpy(), lengths)
                 bucket = ((packed["h"].view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
                 bucket[often] = -1
+                packed["h"] = (packed["h"].view(np.uint64) >> np.uint64(16)).view(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 packed, bucket = packed[order], bucket[order]
                 cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 names = bucket[cuts]
-                block = [packed[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(packed)))]
+                block = [_block(packed[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(packed)))]
                 # blocks of frequent pivots are not gathered anywhere: each goes to a bucket of its own
                 yield pd.DataFrame({"bucket": np.where(names < 0, -1 - np.arange(len(names)) - low, names), "block": block})
 
@@ -254,7 +269,7 @@ def region_pairs(windows: DataFrame, labels: DataFrame, percent: int, bucket_row
             return pd.DataFrame({"a": a, "an": an, "b": nothing if b is None else b, "bn": nothing if b is None else bn, "h": nothing if h is None else h})
 
         def close(blocks):
-            rows = np.frombuffer(b"".join(blocks), ROW)
+            rows = np.concatenate([_rows(b) for b in blocks])
             rows = rows[np.argsort(rows["h"], kind="stable")]
             same = rows["h"][1:] == rows["h"][:-1]
             rows = rows[np.append(False, same) | np.append(same, False)]
@@ -285,7 +300,7 @@ def region_pairs(windows: DataFrame, labels: DataFrame, percent: int, bucket_row
         for batch in batches:
             for bucket, block in zip(batch["bucket"].tolist(), batch["block"]):
                 if bucket < 0:
-                    rows = np.frombuffer(block, ROW)
+                    rows = _rows(block)
                     yield frame(rows["node"], rows["n"], h=rows["h"])
                     continue
                 if bucket != at and blocks:
@@ -317,10 +332,15 @@ def promising_pairs(regions: DataFrame, percent: int) -> DataFrame:
     return shared.where(most >= needed).select("a", "b")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """``node``: both ends of all pairs, with repetitions."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
 def close_sketches(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs whose sketches leave room for the threshold."""
-    sketches = places.select("node", "n", "sketch")
-    met = pairs.select("a", "b").distinct()
+    """The distinct pairs whose sketches leave room for the threshold; only sketches of the pairs' nodes move."""
+    met = stored(pairs.select("a", "b").distinct())
+    sketches = sent_whole(stored(ends(met).distinct())).join(places.select("node", "n", "sketch"), "node")
     for side in "ab":
         met = met.join(sketches.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"), F.col("sketch").alias(f"{side}s")), side)
 
@@ -335,25 +355,26 @@ def close_sketches(pairs: DataFrame, places: DataFrame, percent: int) -> DataFra
     return met.mapInPandas(keep, "a long, b long")
 
 
-def wanted_texts(nodes: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
-    """``node``, ``text``, ``n``, ``sketch``: one text for each of the sets named in ``nodes``.
+def wanted_texts(nodes: DataFrame, places: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node``, ``text``: one text for each of the sets named in ``nodes``; and the rows of ``places`` for them.
 
     ``places`` says which row of ``texts`` (key, text hash) holds a set.  The texts move once, for all later rounds.
     """
-    placed = stored(nodes.distinct().join(places.drop("sketch"), "node"))
-    found = sent_whole(placed).join(texts.withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("at_hash") == F.col("text_hash")))
-    return found.select("node", "text").dropDuplicates(["node"]).join(places.select("node", "n", "sketch"), "node")
+    placed = stored(sent_whole(stored(nodes.distinct())).join(places, "node"))
+    found = sent_whole(placed.drop("n", "sketch")).join(texts.withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("at_hash") == F.col("text_hash")))
+    return stored(found.select("node", "text").dropDuplicates(["node"])), placed
 
 
 def linked_pairs(asked: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
     """The distinct pairs ``a, b`` whose sets, built again from the texts in ``held``, reach the threshold.
 
     The pairs of one ``a`` are dealt over slices; a slice reads the set of ``a`` first and meets the others one by one.
+    Of ``held`` only texts of asked sets are shuffled.
     """
     asked = asked.withColumn("slice", F.pmod(F.hash("b"), F.lit(SLICES)))
     wanted = asked.select("a", "slice", F.lit(0).alias("part"), F.col("a").alias("node")).distinct().unionByName(
         asked.select("a", "slice", F.lit(1).alias("part"), F.col("b").alias("node")))
-    ordered = wanted.join(held.select("node", "text"), "node").select("a", "slice", "part", "node", "text").repartition("a", "slice").sortWithinPartitions("a", "slice", "part", "node")
+    ordered = sent_whole(stored(wanted)).join(held.select("node", "text"), "node").select("a", "slice", "part", "node", "text").repartition("a", "slice").sortWithinPartitions("a", "slice", "part", "node")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, name, held = Shingler(width), None, None
@@ -391,7 +412,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def close_large_regions(members: DataFrame, links: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+def close_large_regions(members: DataFrame, links: DataFrame, held: DataFrame, places: DataFrame, width: int, percent: int) -> DataFrame:
     """All links needed to tell the classes of the members of large regions apart, added to ``links``.
 
     Every round checks a region's next pivots against all members of other classes and retires them; pivots come
@@ -411,7 +432,7 @@ def close_large_regions(members: DataFrame, links: DataFrame, held: DataFrame, w
         chosen = ranked.select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("class").alias("of"))
         fits = (F.least("n", "an") * 100 >= F.greatest("n", "an") * percent) & (F.col("of") != F.col("class"))
         asked = chosen.join(alive, "h").where(fits).select("a", F.col("node").alias("b"))
-        links = stored(links.unionByName(linked_pairs(stored(close_sketches(asked, held, percent)), held, width, percent)))
+        links = stored(links.unionByName(linked_pairs(stored(close_sketches(asked, places, percent)), held, width, percent)))
         members = stored(alive.join(chosen.select("h", F.col("a").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n"))
         pivots *= 8
     return links
@@ -432,14 +453,14 @@ def jaccard_join(documents: DataFrame, percent: int = 75, width: int = 5, key: s
     windows = stored(shingle_windows(texts, width, percent, frequent))
     places = stored(windows.where("sketch is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("p"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).select(
         "node", "p.doc_id", F.col("p.text_hash").alias("at_hash"), "n", "sketch"))
-    both = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     likely = stored(close_sketches(likely_pairs(windows), places, percent))
-    links = stored(linked_pairs(likely, stored(wanted_texts(both(likely), places, texts)), width, percent))
+    held, _ = wanted_texts(ends(likely), places, texts)
+    links = stored(linked_pairs(likely, held, width, percent))
     regions = stored(region_pairs(windows, components(links), percent))
     asked = stored(close_sketches(promising_pairs(regions, percent), places, percent))
     members = stored(regions.where("b is null").select("h", F.col("a").alias("node"), F.col("an").alias("n")).distinct())
-    held = stored(wanted_texts(both(asked).unionByName(members.select("node")), places, texts))
-    links = close_large_regions(members, stored(links.unionByName(linked_pairs(asked, held, width, percent))), held, width, percent)
+    held, placed = wanted_texts(ends(asked).unionByName(members.select("node")), places, texts)
+    links = close_large_regions(members, stored(links.unionByName(linked_pairs(asked, held, width, percent))), held, placed, width, percent)
     labels = components(links).withColumnRenamed("node", "__n")
     classed = windows.select("doc_id", "node", "n_shingles").join(labels, (F.col("node") == F.col("__n")) & (F.col("n_shingles") > 0), "left")
     classed = classed.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
