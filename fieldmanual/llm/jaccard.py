@@ -224,7 +224,7 @@ def _block(rows: np.ndarray) -> bytes:
 
 
 def _rows(block: bytes) -> np.ndarray:
-    rows = np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(ROW.itemsize, -1).T).view(ROW).ravel()
+    rows = np.frombuffer(block, np.uint8).reshape(ROW.itemsize, -1).T.copy().view(ROW).ravel()
     rows["class"] ^= rows["node"]
     return rows
 

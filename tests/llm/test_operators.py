@@ -343,3 +343,10 @@ def test_secrets(spark, hostile):
 def test_secrets_are_native(spark, hostile):
     plan = secrets.secret_digest(secrets.scan_secrets(hostile[0]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_packed_pivots():
+    random = np.random.default_rng(0)
+    for n in (1, 2, 300):
+        rows = np.frombuffer(random.bytes(n * jaccard.ROW.itemsize), jaccard.ROW)
+        assert (jaccard._rows(jaccard._block(rows)) == rows).all()
