@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +52,15 @@ def part_of(df: DataFrame, key: str, wanted: int) -> DataFrame:
 def sent_whole(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     """``df`` (stored, narrow rows) as a broadcast side while it has at most ``most_rows`` rows; beyond, left to shuffle."""
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Send at most ``rows`` rows at once to Python functions in the jobs run inside; texts then need little memory there."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmanual.llm.common import part_of, sent_whole, stored
+from fieldmanual.llm.common import batches_of, part_of, sent_whole, stored
 
 SMALL_REGION = 32
 SLICES = 64
+BATCH = 1024  # texts and sketches sent to a Python function at once
 SKETCH, FINE = 256, 2048  # cells of a sketch; the finer one for sets of more than FINE / 3 shingles
 
 
@@ -448,19 +449,21 @@ def jaccard_join(documents: DataFrame, percent: int = 75, width: int = 5, key: s
     Sets are named by 64-bit hashes.
     """
     texts = documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
-    frequent = frequent_shingles(texts, width, sample_rows)
+    spark = documents.sparkSession
     # One pass over the texts; what follows reads windows, and texts once more for sets that bounds leave open.
-    windows = stored(shingle_windows(texts, width, percent, frequent))
-    places = stored(windows.where("sketch is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("p"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).select(
-        "node", "p.doc_id", F.col("p.text_hash").alias("at_hash"), "n", "sketch"))
-    likely = stored(close_sketches(likely_pairs(windows), places, percent))
-    held, _ = wanted_texts(ends(likely), places, texts)
-    links = stored(linked_pairs(likely, held, width, percent))
+    with batches_of(spark, BATCH):
+        windows = stored(shingle_windows(texts, width, percent, frequent_shingles(texts, width, sample_rows)))
+        places = stored(windows.where("sketch is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("p"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).select(
+            "node", "p.doc_id", F.col("p.text_hash").alias("at_hash"), "n", "sketch"))
+        likely = stored(close_sketches(likely_pairs(windows), places, percent))
+        held, _ = wanted_texts(ends(likely), places, texts)
+        links = stored(linked_pairs(likely, held, width, percent))
     regions = stored(region_pairs(windows, components(links), percent))
-    asked = stored(close_sketches(promising_pairs(regions, percent), places, percent))
     members = stored(regions.where("b is null").select("h", F.col("a").alias("node"), F.col("an").alias("n")).distinct())
-    held, placed = wanted_texts(ends(asked).unionByName(members.select("node")), places, texts)
-    links = close_large_regions(members, stored(links.unionByName(linked_pairs(asked, held, width, percent))), held, placed, width, percent)
+    with batches_of(spark, BATCH):
+        asked = stored(close_sketches(promising_pairs(regions, percent), places, percent))
+        held, placed = wanted_texts(ends(asked).unionByName(members.select("node")), places, texts)
+        links = close_large_regions(members, stored(links.unionByName(linked_pairs(asked, held, width, percent))), held, placed, width, percent)
     labels = components(links).withColumnRenamed("node", "__n")
     classed = windows.select("doc_id", "node", "n_shingles").join(labels, (F.col("node") == F.col("__n")) & (F.col("n_shingles") > 0), "left")
     classed = classed.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
