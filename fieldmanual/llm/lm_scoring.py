@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldmanual.llm.common import sent_whole, stored
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 
@@ -140,5 +141,5 @@ def cross_entropy_difference(documents: DataFrame, wanted: DataFrame, key: str =
     """
     slim = documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     marks = wanted.select(F.col(key).alias("doc_id")).where("doc_id is not null").distinct().withColumn("wanted", F.lit(True))
-    flagged = slim.join(marks, "doc_id", "left").select("text", "wanted")
+    flagged = slim.join(sent_whole(stored(marks)), "doc_id", "left").select("text", "wanted")
     return score_documents(documents, fit_models(flagged, **options), key, text)
