@@ -345,16 +345,20 @@ def match_entries(queries: DataFrame, entries: DataFrame, qid: str = "query_id",
 
 
 def attach_references(entries: DataFrame, passages: DataFrame, kinds: Sequence[str] = ("error_code", "manual"),
-                      n: int = 3, code_shape: str = CODE_SHAPE, seq: str = "seq", kind: str = "doc_type") -> DataFrame:
-    """First ``n`` passages of the given kinds that mention an entry's first code, with a 600-character excerpt."""
+                      n: int = 3, code_shape: str = CODE_SHAPE, seq: str = "seq", kind: str = "doc_type",
+                      excerpt_chars: int | None = None) -> DataFrame:
+    """First ``n`` passages of the given kinds that mention an entry's first code.
+
+    Other kinds take no place in the ranking.  ``excerpt`` is the whole text, or its first ``excerpt_chars`` characters.
+    """
     first = F.nullif(F.regexp_extract(cd.code_key("error_code"), code_shape, 1), F.lit(""))
     asks = entries.select("id", first.alias("code")).filter(F.col("code").isNotNull())
     distinct = asks.select("code").distinct().withColumn("code_id", F.col("code"))
-    hits = lexical.search_exact(passages, distinct, "code_id", "code", seq=seq, limit=12)
-    kept = hits.join(passages.select(seq, kind, "text"), seq).filter(F.col(kind).isin(*kinds))
-    best = top_k(kept.drop("rank"), ["code_id"], [F.col("score"), F.col(seq)], n)
-    return asks.join(best.withColumnRenamed("code_id", "code"), "code").select(
-        "id", "rank", seq, F.substring("text", 1, 600).alias("excerpt"))
+    of_kind = passages.filter(F.col(kind).isin(*kinds))
+    best = lexical.search_exact(passages, distinct, "code_id", "code", seq=seq, limit=n, visible=of_kind)
+    excerpt = F.substring("text", 1, excerpt_chars) if excerpt_chars else F.col("text")
+    return (asks.join(best.withColumnRenamed("code_id", "code"), "code").join(of_kind.select(seq, "text"), seq)
+            .select("id", "rank", seq, excerpt.alias("excerpt")))
 
 
 def entry_stats(entries: DataFrame) -> DataFrame:

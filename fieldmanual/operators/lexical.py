@@ -156,13 +156,20 @@ def search_bm25(passages: DataFrame, queries: DataFrame, key: str = "query_id",
 
 
 def search_with_fallback(passages: DataFrame, queries: DataFrame, key: str = "query_id",
-                         question: str = "question", index: DataFrame | None = None, **options) -> DataFrame:
-    """Okapi search; queries with no hit, or with short ideograph terms, take the LIKE search."""
+                         question: str = "question", index: DataFrame | None = None, cols: Sequence[str] | None = None,
+                         like_index: DataFrame | None = None, **options) -> DataFrame:
+    """Okapi search; queries with no hit, or with short ideograph terms, take the LIKE search.
+
+    The LIKE search looks in all of ``cols`` (the text alone if not given), whose words ``like_index`` holds.
+    """
     seq, text = options.get("seq", "seq"), options.get("text", "text")
+    cols = list(cols or [text])
     index = index if index is not None else cut_lineage(build_word_index(passages, seq, [text]))
+    if like_index is None:
+        like_index = index if cols == [text] else cut_lineage(build_word_index(passages, seq, cols))
     ranked = cut_lineage(search_bm25(passages, queries.filter(~tx.needs_like(question)), key, question, index=index, **options))
     rest = queries.join(ranked.select(key).distinct(), key, "left_anti")
-    like = search_like(passages, rest, key, question, index=index, cols=[text], **options)
+    like = search_like(passages, rest, key, question, index=like_index, cols=cols, **options)
     columns = ranked.columns
     return (ranked.withColumn("score", F.col("score").cast("double")).withColumn("method", F.lit("bm25"))
             .unionByName(like.select(*columns).withColumn("score", F.col("score").cast("double"))
@@ -177,14 +184,16 @@ def search_exact(passages: DataFrame, codes: DataFrame, key: str = "query_id", c
 
 def retrieve_lexical(passages: DataFrame, questions: DataFrame, key: str = "query_id",
                      question: str = "question", codes: str | None = None,
-                     extra_terms: str | None = None, limit: int = 8, extra_limit: int = 5, **options) -> DataFrame:
-    """First code of a question, else the question; then up to four expansions and four key terms after it."""
+                     expansions: str | None = None, key_terms: str | None = None, limit: int = 8, extra_limit: int = 5,
+                     each: int = 4, **options) -> DataFrame:
+    """First code of a question, else the question; then the first ``each`` expansions and the first ``each`` key terms."""
     main = F.regexp_replace(question, "[?？]", " ")
     if codes:
         main = F.when(F.size(codes) > 0, F.get(F.col(codes), F.lit(0))).otherwise(main)
     asks = F.array(F.struct(F.lit(0).alias("term_order"), main.alias("ask")))
-    if extra_terms:
-        extra = F.transform(F.slice(F.array_distinct(extra_terms), 1, 8),
+    extras = [F.slice(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))), 1, each) for c in (expansions, key_terms) if c]
+    if extras:
+        extra = F.transform(F.array_distinct(F.concat(*extras)),
                             lambda t, i: F.struct((i + 1).alias("term_order"), t.alias("ask")))
         asks = F.concat(asks, F.when(F.size(codes) > 0, F.array().cast(
             "array<struct<term_order:int,ask:string>>")).otherwise(extra) if codes else extra)

@@ -75,12 +75,7 @@ def source_questions(t: Tables):
 WITH q AS (SELECT DISTINCT source AS query_id, 'the ' || source AS question FROM documents), {P}, {like_sql("text || chr(10) || source || chr(10) || lang")}
 SELECT query_id, seq, CAST(score AS DOUBLE) AS score, rank, 'like' AS method FROM like_hits""")
 def search_fallback(t: Tables):
-    p = passages(t)
-    ranked = lexical.search_bm25(p, source_questions(t))
-    rest = source_questions(t).join(ranked.select("query_id").distinct(), "query_id", "left_anti")
-    like = lexical.search_like(p, rest, cols=["text", "source", "lang"])
-    return (ranked.withColumn("method", F.lit("bm25")).unionByName(like.withColumn("method", F.lit("like")))
-            .withColumn("score", F.col("score").cast("double")))
+    return lexical.search_with_fallback(passages(t), source_questions(t), cols=["text", "source", "lang"])
 
 
 LONGEST = r"""WITH w AS (SELECT item_id, unnest(string_split_regex(text, '\s+')) AS w FROM benchmark),
@@ -126,7 +121,7 @@ SELECT CAST(string_split(query_id, '#')[1] AS BIGINT) AS query_id, seq, term_ord
 def lexical_with_terms(t: Tables):
     word = F.array_max(F.transform(F.split("question", r"\s+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
     q = asked(t).withColumn("terms", F.array(word))
-    return lexical.retrieve_lexical(passages(t), q, extra_terms="terms").select("query_id", "seq", "term_order", "rank", "position")
+    return lexical.retrieve_lexical(passages(t), q, key_terms="terms").select("query_id", "seq", "term_order", "rank", "position")
 
 
 def part_pages(t: Tables):
