@@ -212,6 +212,36 @@ def test_lm_scoring(spark, hostile):
     assert lm_scoring.cross_entropy_difference(empty(spark), empty(spark)).count() == 0
 
 
+def test_lm_scoring_counts_every_pair(spark):
+    """More words than the former vocabulary and more pairs than the former cells, against counts in a dict."""
+    random.seed(8)
+    rows = [(i, " ".join(f"w{random.randrange(90_000)}" for _ in range(400)), None, None) for i in range(800)]
+    rows += [(1000 + i, "the rare rare twin the rare", None, None) for i in range(3)] + [(1000, "the rare rare twin the rare", None, None), (None, "w1 the rare", None, None)]
+    docs = docs_of(spark, rows)
+    wanted = docs.where("doc_id % 3 = 0")
+    one, two = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for d, t, *_ in rows:
+        m, w = int(d is None or d % 3 != 0), t.split()
+        one[m].update(w)
+        two[m].update(zip(w, w[1:]))
+    v = len(one[0] | one[1]) + 1
+    assert v > 50_000 and len(two[0] | two[1]) > 1 << 18
+
+    def loss(t, m):
+        w, n = t.split(), one[m].total()
+        p = [(one[m][x] + 0.5) / (n + 0.5 * v) for x in w]
+        return -np.log([p[0], *(0.7 * two[m][a, b] / max(one[m][a], 1) + 0.3 * q for a, b, q in zip(w, w[1:], p[1:]))]).mean()
+
+    want = sorted((str(d), len(t.split()), loss(t, 0), loss(t, 1)) for d, t, *_ in rows)
+    models = lm_scoring.fit_models(docs.withColumn("wanted", F.col("doc_id") % 3 == 0), held_tokens=50_000)
+    for got in (lm_scoring.cross_entropy_difference(docs, wanted), lm_scoring.score_documents(docs, models, most_sent=0)):
+        got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in got.collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2:] for g in got], [w[2:] for w in want])
+    other = docs_of(spark, [(1, "the unseen rare", None, None), (2, "", None, None)])
+    got = {r.doc_id: r for r in lm_scoring.score_documents(other, models).collect()}
+    assert abs(got[1].target_loss - loss("the unseen rare", 0)) < 1e-9 and got[2].n_tokens == 0 and got[2].score is None
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 120, axis=0)]).astype(np.float32)
