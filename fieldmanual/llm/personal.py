@@ -2,7 +2,8 @@
 
 Patterns find base spans, which always stay.  High-recall generators propose further, overlapping spans; boosted
 trees over format and context features score them, a calibrated threshold selects, and the best of overlapping
-spans stays.  The trees learn from a bounded sample: proposals that coincide with base spans against the rest.
+spans stays.  The trees learn from a bounded sample: base spans, seen without the marks that make them base spans,
+against proposals that cannot be personal data.  Proposals that could be are what the trees decide, so they teach nothing.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 
 # Generators of proposals: numbers in groups, and addresses that avoid the sign.
 NUMBERS = re.compile(r"[+(]?[0-9][0-9\x20().\-/]{5,}[0-9]")
-HIDDEN_AT = re.compile(r"\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]+)+", re.I)
+_DOT, _LABEL = r"\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?", "[A-Za-z0-9-]+"
+HIDDEN_AT = re.compile(rf"\x20?(?:\(at\)|\[at\])\x20?{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+|(?:\x20?\x20at\x20\x20?|@){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+", re.I)
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 WORDS = {"phone": ("phone", "tel", "call", "mobile", "fax", "cell"), "card": ("card", "visa", "master", "credit", "pay"), "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server")}
-FEATURES = 20
+MOST_DIGITS = 19  # of a card, the longest kind
 
 
 def luhn(digits: str) -> bool:
@@ -81,21 +84,25 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of everything that could be personal data, overlaps included."""
     out = []
     for m in NUMBERS.finditer(text):
-        runs = [m.span()]
-        if " " in m.group():
-            at = m.start()
-            for part in m.group().split(" "):
-                if part and part[-1].isdigit():
-                    runs.append((at, at + len(part)))
-                at += len(part) + 1
-        for begin, end in runs:
-            run = text[begin:end]
-            n = len(_digits(run))
-            if n >= 4:
-                kind = 1 if IP.fullmatch(run) else 2 if n >= 13 and run[0] not in "+(" else 3
-                if n >= 9 or kind == 1:
-                    out.append((kind, begin, end))
-    low = text.lower() if "(at)" in text or "[at]" in text or " dot " in text or "(AT)" in text else ""
+        parts = [(m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"[^\x20]+", m.group())]
+        for i, (begin, _) in enumerate(parts):
+            n = 0
+            for begin_of, end in parts[i:]:  # every row of neighbouring parts
+                n += len(_digits(text[begin_of:end]))
+                if n > MOST_DIGITS:
+                    break
+                run = text[begin:end]
+                if not run[-1].isdigit():
+                    continue
+                if IP.fullmatch(run) and _octets(run):
+                    out.append((1, begin, end))
+                    continue
+                if n >= 13 and run[0] not in "+(":
+                    out.append((2, begin, end))
+                if 9 <= n <= 15:
+                    out.append((3, begin, end))
+    low = text.lower()
+    low = ("(at)" in low or "[at]" in low or " at " in low or "@" in low) and ("(at)" in low or "[at]" in low or "(dot)" in low or "[dot]" in low or " dot " in low)
     if low:
         for m in HIDDEN_AT.finditer(text):
             before = EMAIL_START.search(text[max(0, m.start() - 64):m.start()])
@@ -116,6 +123,8 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
 def plausible(kind: int, s: str) -> bool:
     """Formats that a selected proposal must have, whatever its score: a rule that a kind must obey is not learnt away."""
     digits, groups = _digits(s), [len(g) for g in re.findall(r"[0-9]+", s)]
+    if kind == 0:
+        return ADDRESS.fullmatch(plain(kind, s)) is not None
     if kind == 1:
         return _octets(s)
     if kind == 2:
@@ -125,15 +134,38 @@ def plausible(kind: int, s: str) -> bool:
     return True
 
 
+def plain(kind: int, s: str) -> str:
+    """The span without what tells a base span from a hidden one: spelt signs, the plus, the kind of separator."""
+    if kind == 0:
+        return re.sub(r"\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?", ".", re.sub(r"\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?", "@", s, flags=re.I), flags=re.I)
+    return re.sub(r"[\x20./()-]+", " ", s.lstrip("+(")) if kind in (2, 3) else s
+
+
+def _around(text: str, begin: int, end: int) -> tuple[str, str, float]:
+    """Text before and after a span, and the share of digits in both."""
+    before, after = text[max(0, begin - 24):begin].lower(), text[end:end + 12]
+    return before, after, sum(c.isdigit() for c in before + after) / (len(before + after) or 1)
+
+
 def features(text: str, kind: int, begin: int, end: int) -> list[float]:
-    """Format of the span and its surroundings."""
-    s, before, after = text[begin:end], text[max(0, begin - 24):begin].lower(), text[end:end + 12]
+    """Format of the span in its plain form, and its surroundings."""
+    s, (before, after, numeric) = plain(kind, text[begin:end]), _around(text, begin, end)
     digits = _digits(s)
     groups = [len(g) for g in re.findall(r"[0-9]+", s)] or [0]
-    return [kind, len(s), len(digits), len(groups), max(groups), min(groups), s.count(" "), s.count("."), s.count("-"), s.count("("), s.count("+"), s.count("/"),
-            float("@" in s), float(luhn(digits)) if 13 <= len(digits) <= 19 else -1.0, float(_octets(s)) if kind == 1 else -1.0,
-            float(any(w in before for w in WORDS[KINDS[kind]])), sum(c.isalpha() for c in before) / (len(before) or 1), sum(c.isdigit() for c in before + after) / (len(before + after) or 1),
-            float(before[-1:].isalnum()), float(after[:1].isalnum())]
+    return [kind, len(digits), len(groups) if kind else 0, max(groups) if kind else 0, groups[-1] if kind else 0, groups[0] if kind == 2 else 0,
+            float(luhn(digits)) if kind == 2 and 13 <= len(digits) <= 19 else -1.0, float(_octets(s)) if kind == 1 else -1.0, float(plausible(kind, text[begin:end])),
+            float(any(w in before for w in WORDS[KINDS[kind]])), sum(c.isalpha() for c in before) / (len(before) or 1), numeric, float(before[-1:].isalnum()), float(after[:1].isalnum())]
+
+
+def examples(text: str) -> list[tuple[bool, list[float]]]:
+    """What a text teaches: its base spans, and proposals that break their format, stand in a word or among numbers."""
+    base = base_spans(text)
+    out = [(True, features(text, *c)) for c in base]
+    for k, b, e in dict.fromkeys(proposals(text)):
+        before, after, numeric = _around(text, b, e)
+        if (k, b, e) not in base and (not plausible(k, text[b:e]) or before[-1:].isalnum() or after[:1].isalnum() or numeric > 0.5):
+            out.append((False, features(text, k, b, e)))
+    return out
 
 
 def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32):
@@ -203,10 +235,10 @@ def calibrate(margin: np.ndarray, y: np.ndarray, precision: float) -> tuple[floa
 
 
 def fit_personal(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 20_000, most_candidates: int = 40_000, precision: float = 0.99):
-    """Trees and calibration from about ``sample_rows`` documents and at most ``most_candidates`` of their proposals.
+    """Trees and calibration from about ``sample_rows`` documents and at most ``most_candidates`` of their examples.
 
-    Proposals from half of the documents grow the trees, those from the other half calibrate.  None if the sample has
-    no proposal of either class in either half.
+    Examples from half of the documents grow the trees, those from the other half calibrate.  None if a half of the
+    sample lacks one of the classes.
     """
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,9 +246,7 @@ def fit_personal(documents: DataFrame, key: str = "doc_id", text: str = "text",
             out = []
             for order, t in zip(batch["order"], batch["text"]):
                 if t:
-                    base = base_spans(t)
-                    for k, b, e in proposals(t):
-                        out.append((order, b, any(kk == k and bb == b and ee == e for kk, bb, ee in base), features(t, k, b, e)))
+                    out += [(order, i, good, x) for i, (good, x) in enumerate(examples(t))]
             yield pd.DataFrame(out, columns=["order", "at", "good", "x"])
 
     slim = part_of(documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id", sample_rows)
@@ -241,7 +271,7 @@ def selected_spans(text: str, base: list[tuple[int, int, int]], model) -> list[t
     trees, (a, b, least) = model
     p = 1 / (1 + np.exp(-np.clip(a * tree_margins(trees, np.array([features(text, *c) for c in free])) + b, -30, 30)))
     out: list[tuple[int, int, int]] = []
-    for i in np.lexsort((-np.array([c[2] - c[1] for c in free]), -p)):
+    for i in np.lexsort((-np.array([c[2] - c[1] for c in free]), -np.round(p, 2))):
         if p[i] >= least and not any(free[i][1] < e and s < free[i][2] for _, s, e in out):
             out.append(free[i])
     return out

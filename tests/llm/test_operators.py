@@ -128,6 +128,28 @@ def test_personal(spark, hostile):
     assert personal.find_personal(empty(spark)).count() == 0
 
 
+def test_personal_adds_hidden_spans(spark):
+    """Phones without plus, spelt addresses and dotted cards have no base span; numbers in words and tables stay out."""
+    random.seed(5)
+    digits = lambda n: "".join(random.choice("0123456789") for _ in range(n))
+    words = lambda: " ".join(random.choice(("the", "ere", "and", "tion", "of")) for _ in range(12))
+    rows = []
+    for i in range(600):
+        card = next(c for c in iter(lambda: "4" + digits(15), None) if personal.luhn(c))
+        seen = random.choice((f"+1 ({digits(3)}) 555-{digits(4)}", f"ab{i}@mail.example.com", card, f"10.{i % 250}.3.4"))
+        rows.append((i, f"{words()} {seen} {words()} x{digits(10)}a {digits(16)} {words()}", "en", "a"))
+    planted = ["call (212) 555-0187 now", "ring 212-555-0187 now", "mail Jo.Doe (AT) example (DOT) org now", "mail jo [at] mail.example.org now", "mail jo at example dot org now",
+               "paid 4111.1111.1111.1111 now", "paid 4111/1111/1111/1111 now", "call (212) 555-0187 (212) 555-0199 now"]
+    clean = ["serial x2125550187a", "12 100 200 3000 100 200 3000 100 200 3000 77 11 22", "sum 4111.1111.1111.1112 now", "look at example.org now", "we met at noon"]
+    docs = docs_of(spark, rows + [(1000 + i, f"{words()} {t} {words()}", "en", "a") for i, t in enumerate(planted)] + [(2000 + i, t, "en", "a") for i, t in enumerate(clean)])
+    got = {r.doc_id: r for r in personal.find_personal(docs).collect()}
+    assert [got[1000 + i].n_added for i in range(len(planted))] == [1] * 7 + [2]
+    assert all(got[2000 + i].n_added == 0 for i in range(len(clean)))
+    spans = lambda i: [x.split(":")[0] for x in got[1000 + i].spans.split(",")]
+    assert [spans(i)[0] for i in range(7)] == ["phone", "phone", "email", "email", "email", "card", "card"]
+    assert sum(r.n_added for r in got.values()) == 9
+
+
 def test_boosting_learns_and_calibrates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 4))
