@@ -18,10 +18,14 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # a run of 18 or more: shorter runs fail, and no
 HEX = r"[0-9a-f]{16,}"         # likewise: matches are whole runs
 BASE_KINDS = ("assign", "access", "hex")
 
-# Weak parts: kind, role in a credential, pattern.  Roles complement each other.
+# Weak parts: kind, role in a credential, pattern.  Roles complement each other.  A name may stand behind an underscore
+# or a lower-case prefix (db_user, awsSecretAccessKey); values that make a base span of their own are left to it.
+NAME = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))"
+SHORT = r"""(?:client[_-]?)?(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?![A-Za-z0-9+/_.=-]{12})"""
+OTHER = r"""(?:pwd|pass(?:phrase|code)?|pin|cred(?:ential)?s?|(?:secret|private|shared|signing|encryption|master)[_-]?(?:access[_-]?)?key|auth)["']?\x20*[:=]\x20*["']?"""
 WEAK = (
-    ("account", "identifier", r"""(?i:\b(?:client|account|access|user|login|tenant)[_-]?(?:key[_-]?)?(?:id|name)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}"""),
-    ("loose", "secret", r"""(?i:\b(?:pwd|pass|pin|cred(?:ential)?s?|private[_-]?key|auth))["']?\x20*[:=]\x20*["']?[^\s"',;]{6,}"""),
+    ("account", "identifier", rf"""{NAME}(?<!(?i:secret|private|shared|signing|encryption|master)[_-]?)(?i:(?:client|account|access|user|login|tenant)[_-]?(?:key[_-]?)?(?:id|name)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{{4,}}"""),
+    ("loose", "secret", rf"""{NAME}(?i:{SHORT}|{OTHER})[^\s"',;]{{6,}}"""),
     ("endpoint", "endpoint", r"""(?:https?|ftps?|ssh|jdbc:[a-z0-9]+|amqps?|mongodb|redis|postgres(?:ql)?|mysql)://[^\s"'<>]{4,}"""),
 )
 WINDOW = 256

@@ -392,6 +392,20 @@ def test_secrets(spark, hostile):
     assert secrets.scan_secrets(empty(spark)).count() == 0 and secrets.scan_secrets(hostile[0]).where("size(spans) > 0").count() == 0
 
 
+def test_secrets_link_usual_credentials(spark):
+    rows = [(1, "user=admin password=hunter22 url=https://db.example.com/x"), (2, "db_user=root1 db_pass=secret99"),
+            (3, "aws_access_key_id = ASIAQWERTYUIOPASDFGH aws_secret_access_key = wJalrXUtnFEMI/K7MDENG"), (4, '{"clientId": "abc-77", "clientSecret": "s3cr3t!!"}'),
+            (5, "awsAccessKeyId=ASIAQWERTY awsSecretAccessKey=wJalrXUt"), (6, "db_user=root1 password=abcdefghijkl"), (7, "password=hunter22 alone"), (8, "compass=northwest superuser=admin spin=abcdef")]
+    got = {r.doc_id: r for r in secrets.secret_digest(secrets.scan_secrets(docs_of(spark, [(d, t, "en", "a") for d, t in rows]))).collect()}
+    found = {d: [(x.split(":")[0], t[int(x.split(":")[1]):int(x.split(":")[2])]) for x in got[d].spans.split(",") if x] for d, t in rows}
+    assert found[1] == [("account", "user=admin"), ("loose", "password=hunter22"), ("endpoint", "https://db.example.com/x")]
+    assert found[2] == [("account", "user=root1"), ("loose", "pass=secret99")]
+    assert found[3] == [("account", "access_key_id = ASIAQWERTYUIOPASDFGH"), ("loose", "secret_access_key = wJalrXUtnFEMI/K7MDENG")]
+    assert [k for k, _ in found[4]] == [k for k, _ in found[5]] == ["account", "loose"]
+    assert found[6] == [("account", "user=root1"), ("assign", "password=abcdefghijkl")] and found[7] == [] and found[8] == []
+    assert [got[d].n_assign for d in range(1, 9)] == [0, 0, 0, 0, 0, 1, 0, 0]
+
+
 def test_secrets_are_native(spark, hostile):
     plan = secrets.secret_digest(secrets.scan_secrets(hostile[0]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
