@@ -242,3 +242,15 @@ def test_vectors_both_paths_and_sparse_brute_force(spark):
     want = sorted((x, y, round(s, 6)) for x in range(9) for y in dense if (s := sum(w * dense[y].get(f, 0) for f, w in dense[x].items())) >= 0.3)
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert top_k(docs, [], [F.col("seq")], 2).count() == 2
+
+
+def test_ranked_procedures_past_former_limits(spark):
+    """300 titles with one term, and a seventh term: all get a score."""
+    from fieldmanual.operators import procedures
+
+    procs = spark.createDataFrame([(i, "blue widget" if i < 300 else "lone gasket", "", "manual", ["M1"], [], 2) for i in range(301)],
+                                  "proc_id long, title string, breadcrumb string, doc_type string, tags array<string>, name_tags array<string>, n_steps int")
+    queries = spark.createDataFrame([(1, ["widget", "one", "two", "three", "four", "five", "gasket"], [])], "query_id long, terms array<string>, named array<string>")
+    none = spark.createDataFrame([], "query_id long, proc_id long, score double")
+    got = {r.proc_id for r in procedures.rank_procedures(procs, queries, none, ["M1"]).collect()}
+    assert got == set(range(301))
