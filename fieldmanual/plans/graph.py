@@ -234,7 +234,7 @@ SELECT user_id AS doc_id, start AS seq_start, seq_end, CAST(n_steps AS INTEGER)
 def procedures(t: Tables):
     out = pr.split_procedures(pr.line_stream(event_manual(t)))
     body = F.array_join(F.transform("steps", lambda x: F.concat_ws(" ", x["text"], F.nullif(x["detail"], F.lit("")))), " ")
-    return out.filter(F.length(body) < 280).select("doc_id", "seq_start", "seq_end", "n_steps", "title", F.md5(body).alias("body"))
+    return out.select("doc_id", "seq_start", "seq_end", "n_steps", "title", F.md5(body).alias("body"))
 
 
 @query("whole_document_steps", """WITH d AS (SELECT source, doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS head, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),

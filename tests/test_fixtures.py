@@ -254,3 +254,16 @@ def test_ranked_procedures_past_former_limits(spark):
     none = spark.createDataFrame([], "query_id long, proc_id long, score double")
     got = {r.proc_id for r in procedures.rank_procedures(procs, queries, none, ["M1"]).collect()}
     assert got == set(range(301))
+
+
+def test_procedures_keep_long_bodies(spark):
+    """A step followed by 400 lines keeps every line; a bound applies only where it is given."""
+    from fieldmanual.operators import procedures
+
+    tail = [f"see item {i}" for i in range(400)]
+    lines = spark.createDataFrame([("d", 1, i, "body", x) for i, x in enumerate(["1. Check it", *tail, "2. Press it"])],
+                                  "doc_id string, seq int, pos long, kind string, line string")
+    steps = procedures.split_procedures(lines).first().steps
+    text, detail = steps[0]["text"], steps[0]["detail"]
+    assert f"{text} {detail}".split() == " ".join(["Check it", *tail]).split() and 300 <= len(text) < 320 and steps[1]["text"] == "Press it"
+    assert procedures.split_procedures(lines, max_detail=50).first().steps[0]["detail"] == detail[:50]
