@@ -109,7 +109,7 @@ def pack_windows(df: DataFrame, by: Sequence[str], order: str, text: str = "text
     """Concatenate the passages of each document, in order, into windows of at most ``limit`` characters.
 
     A window closes before the passage that would take it over the limit.  ``measure='piece'`` counts
-    the passage with its heading and cuts the window text to the limit.
+    the passage with its heading and splits a window that is still longer over several of at most ``limit`` characters.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     head = F.when(F.coalesce(F.col(title), F.lit("")) != "", F.concat(F.lit("## "), F.col(title), F.lit("\n"))
@@ -130,11 +130,16 @@ def pack_windows(df: DataFrame, by: Sequence[str], order: str, text: str = "text
     packed = items.groupBy(*by, "window_no").agg(parts.alias("parts"))
     joined = F.array_join(F.transform("parts", lambda x: x["p"]), "\n" if title else "")
     titles = F.filter(F.transform("parts", lambda x: x["t"]), lambda t: t != "")
-    return packed.select(
-        *by, "window_no",
-        (joined if measure == "text" else F.substring(joined, 1, limit)).alias("text"),
+    out = packed.select(
+        *by, "window_no", joined.alias("text"),
         F.substring(F.array_join(F.slice(titles, 1, 3), " / "), 1, 40).alias("label"),
         F.size("parts").alias("n_passages"))
+    if measure == "text":
+        return out
+    out = od.cut_lineage(out.withColumn("__pieces", F.greatest(F.ceil(F.length("text") / limit), F.lit(1)).cast("long")))
+    counts = od.running_sum(out.select(*by, "window_no", "__pieces"), by, "window_no", "__pieces", "__before", inclusive=False, width=width)
+    cut = out.join(counts.select(*by, "window_no", "__before"), [*by, "window_no"]).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__pieces") - 1)))
+    return cut.select(*by, (F.col("__before") + F.col("__i") + 1).alias("window_no"), F.expr(f"substring(text, cast(__i * {limit} + 1 as int), {limit})").alias("text"), "label", "n_passages")
 
 
 def score_evidence(df: DataFrame, doc: str, seq: str, pattern: str, title: str | None = None,

@@ -103,7 +103,7 @@ def hint_other_end(groups: DataFrame, group_pages: DataFrame, pages: DataFrame,
     cables = F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(r"(\d?[A-Z]\d{3}-\d{3}(?:-\d+)?)"), 1))
     posted = pages.select("doc", "page", norm("text").alias("flat"), F.explode(cables).alias("cab"))
     same_cable = (open_.filter("cab <> ''").join(posted, "cab").join(own, ["gid", "doc", "page"], "left_anti")
-                  .withColumn("both", (F.length("dev") >= 4) & F.col("flat").contains(F.substring("dev", 1, 24))))
+                  .withColumn("both", (F.length("dev") >= 4) & F.col("flat").contains(F.col("dev"))))
     per = same_cable.groupBy("gid").agg(F.count("*").alias("n_cab"), F.max("both").alias("any_both"))
     ok = crosspage_cables(groups).select("cab", F.lit(True).alias("ok"))
     e1 = same_cable.filter("both").select("gid", "doc", "page", F.lit(1).alias("level"))

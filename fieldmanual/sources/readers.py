@@ -192,11 +192,12 @@ def pages_to_passages(pages: DataFrame, doc: str = "doc_id", page: str = "page",
         F.concat(F.lit("第"), F.col(page).cast("string"), F.lit("页")).alias("section_title"), F.col(text).alias("text"))
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 8, exclude: Sequence[str] = (), node: str = "node_id",
+def tree_paths(nodes: DataFrame, max_depth: int | None = None, exclude: Sequence[str] = (), node: str = "node_id",
                parent: str = "parent_id", title: str = "title") -> DataFrame:
     """(node, path, depth): ancestor titles joined by ``/``, excluded words pruning their subtree.
 
-    A level is one join with the level above; there are at most ``max_depth`` of them.
+    A level is one join with the level above, until a level is empty or ``max_depth`` is reached; a node below itself
+    is left out.
     """
     def allowed(df):
         for word in exclude:
@@ -204,12 +205,16 @@ def tree_paths(nodes: DataFrame, max_depth: int = 8, exclude: Sequence[str] = ()
         return df
 
     base = allowed(nodes.select(node, parent, title))
-    level = base.filter(F.col(parent).isNull()).select(node, F.col(title).alias("path"), F.lit(1).alias("depth"))
-    out = level
-    for depth in range(2, max_depth + 1):
-        up = level.select(F.col(node).alias(parent), F.col("path").alias("__p"))
-        level = base.join(up, parent).select(node, F.concat_ws("/", "__p", title).alias("path"), F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
+    level = base.filter(F.col(parent).isNull()).select(node, F.col(title).alias("path"), F.lit(1).alias("depth"), F.array(node).alias("__above"))
+    out, depth = level.drop("__above"), 1
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        up = level.select(F.col(node).alias(parent), F.col("path").alias("__p"), "__above")
+        level = od.cut_lineage(base.join(up, parent).filter(~F.array_contains("__above", F.col(node))).select(
+            node, F.concat_ws("/", "__p", title).alias("path"), F.lit(depth).alias("depth"), F.concat("__above", F.array(node)).alias("__above")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level.drop("__above"))
     return out
 
 

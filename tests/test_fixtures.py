@@ -267,3 +267,22 @@ def test_procedures_keep_long_bodies(spark):
     text, detail = steps[0]["text"], steps[0]["detail"]
     assert f"{text} {detail}".split() == " ".join(["Check it", *tail]).split() and 300 <= len(text) < 320 and steps[1]["text"] == "Press it"
     assert procedures.split_procedures(lines, max_detail=50).first().steps[0]["detail"] == detail[:50]
+
+
+def test_beyond_former_caps(spark):
+    """Nine levels, 100 table rows, five cells, 70 new abbreviations, a passage longer than a window."""
+    from fieldmanual.operators import glossary, prepare
+    from fieldmanual.sources import readers
+
+    nodes = spark.createDataFrame([(i, i - 1 or None, f"n{i}") for i in range(1, 10)] + [(5, 9, "loop")], "node_id int, parent_id int, title string")
+    paths = {(r.node_id, r.depth): r.path for r in readers.tree_paths(nodes).collect()}
+    assert len(paths) == 9 and paths[9, 9] == "/".join(f"n{i}" for i in range(1, 10))
+    code = [chr(65 + i // 26) + chr(65 + i % 26) + "X" for i in range(100)]
+    table = "| Abbreviation | b | c | d | e |\n" + "\n".join(f"| {c} | one | two | three | four |" for c in code)
+    mined = glossary.mine_tables(spark.createDataFrame([(1, "d", table)], "seq int, doc_name string, text string"))
+    assert mined.count() == 400 and mined.select("abbr").distinct().count() == 100
+    free = spark.createDataFrame([("d", " ".join(code[:70]))], "doc_name string, text string")
+    assert glossary.missing_abbreviations(free, spark.createDataFrame([], "abbr string")).count() == 70
+    long = spark.createDataFrame([("d", 1, "ab"), ("d", 2, "0123456789xyz"), ("d", 3, "cd")], "doc string, q int, text string")
+    got = prepare.pack_windows(long, ["doc"], "q", limit=5, measure="piece").orderBy("window_no").collect()
+    assert [r.text for r in got] == ["ab", "01234", "56789", "xyz", "cd"] and [r.window_no for r in got] == list(range(1, 6))
