@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders of local sessions that name none, by application.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; an own one only in local mode where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,9 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    named = tempfile.mkdtemp(prefix="fieldmanual-shared-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="fieldmanual-shared-")
+    return _own_folders[app]
 
 
 def stored(df: DataFrame) -> DataFrame:
