@@ -4,19 +4,19 @@ Only the longest windows are counted: the words at a position and at its next pl
 and padded where the piece ends.  ROLLUP over the lead columns sums the windows by ever shorter prefixes, which gives the
 count of every shorter phrase without exploding it.
 
-Two screens end windows early without changing any count that is wanted: a phrase in ``least`` places has only words, and
-only neighbouring pairs of words, that stand in as many.  A screen is a bit map of fixed size; what it lets through by
-mistake is counted in full and falls under ``least`` afterwards.
+Screens end windows early without changing any count that is wanted: a phrase in ``least`` places has only words, and
+only shorter runs of words, that stand in as many.  A screen is a bit map of fixed size, filled from runs of one length
+under the screens before it; what it lets through by mistake is counted in full and falls under ``least`` afterwards.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +34,8 @@ def _tokens(texts: list[bytes]) -> list[bytes]:
     return b"\n".join(texts).translate(FOLD).replace(b"\n", b" \n ").split(b" ")
 
 
-def _word_hash(lang: bytes, word: bytes) -> int:
-    made = int.from_bytes(hashlib.blake2b(lang + b"\x00" + word, digest_size=8).digest(), "little", signed=True)
-    return made if made not in (BREAK, SKIP) else made + 2
-
-
 def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A 64-bit key of two hashes; it serves the screen only, never a count."""
+    """A 64-bit key of two hashes; it serves the screens only, never a count."""
     a, b = first.view(np.uint64), second.view(np.uint64)
     x = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -87,7 +82,7 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, lis
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(lang, word, h, n) of all words of ``texts`` (lang, text); ``h`` names the word within its language."""
+    """(lang, word, n, h) of all words of ``texts`` (lang, text); ``h`` names the word within its language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, Counter] = {}
@@ -95,9 +90,8 @@ def count_words(texts: DataFrame) -> DataFrame:
         def out():
             for lang, seen in held.items():
                 seen.pop(b"", None), seen.pop(b"\n", None)
-                words = list(seen)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.binary()).cast(pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(
-                    [_word_hash(lang, w) for w in words], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.binary()).cast(pa.string()), pa.array(list(seen), pa.binary()).cast(pa.string()),
+                                                  pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
             held.clear()
 
         for lang, run in _by_language(batches):
@@ -106,65 +100,79 @@ def count_words(texts: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    found = texts.mapInArrow(count, "lang string, word string, h long, n long")
-    return found.groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(count, "lang string, word string, n long")
+    return found.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("h", F.xxhash64("lang", "word"))
 
 
 class _Hashes(dict):
-    """Hash of a language's word, a break for words that the screen does not let through."""
+    """Spark's 64-bit hash of (language, word), as an unsigned number."""
 
-    def __init__(self, lang: bytes, screen: Screen):
+    def __init__(self, lang: bytes):
         super().__init__({b"": SKIP, b"\n": BREAK})
-        self.lang, self.screen = lang, screen
+        self.seed = xxhash.xxh64_intdigest(lang, seed=42)
 
     def __missing__(self, word: bytes) -> int:
-        h = np.array([_word_hash(self.lang, word)], np.int64)
-        made = self[word] = int(h[0]) if self.screen(h)[0] else BREAK
+        made = self[word] = xxhash.xxh64_intdigest(word, seed=self.seed)
         return made
 
 
-def _positions(batches: Iterator[pa.RecordBatch], screen: Screen) -> Iterator[np.ndarray]:
-    """Hashes of the words in order, breaks between pieces and in place of screened words."""
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Hashes of the words in order, with a break behind every piece."""
     known: dict[bytes, _Hashes] = {}
     for lang, run in _by_language(batches):
         if sum(map(len, known.values())) > MANY // 4:
             known.clear()
-        look = known.setdefault(lang, _Hashes(lang, screen))
+        look = known.setdefault(lang, _Hashes(lang))
         tokens = _tokens(run)
-        h = np.fromiter(map(look.__getitem__, tokens), np.int64, len(tokens))
+        tokens.append(b"\n")
+        h = np.fromiter(map(look.__getitem__, tokens), np.uint64, len(tokens)).view(np.int64)
         yield h[h != SKIP]
 
 
-def count_pairs(texts: DataFrame, words: Screen) -> DataFrame:
-    """(pair, n): occurrences of neighbouring words that the screen lets through, by the hash of the pair."""
-    sent = texts.sparkSession.sparkContext.broadcast(words)
+def _live_runs(h: np.ndarray, screens: list[Screen], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of 1, 2, ... ``longest`` words: where they start, and their keys, as far as the screens let them through.
+
+    A run can be frequent only if both runs that are shorter by one word are, so each length starts from the last.
+    """
+    at = np.flatnonzero(h != BREAK)
+    key = h[at]
+    for k in range(1, longest + 1):
+        if k > 1:
+            on = np.zeros(len(h) + 1, bool)
+            on[at] = True
+            go = on[at + 1]
+            at = at[go]
+            key = _pair_hash(key[go], h[at + k - 1])
+        if k <= len(screens):
+            go = screens[k - 1](key)
+            at, key = at[go], key[go]
+        yield at, key
+
+
+def count_runs(texts: DataFrame, screens: list[Screen]) -> DataFrame:
+    """(run, n): occurrences of runs of words, one word longer than there are screens, by a hash of the run."""
+    sent = texts.sparkSession.sparkContext.broadcast(screens)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h in _positions(batches, sent.value):
-            both = (h[:-1] != BREAK) & (h[1:] != BREAK)
-            pairs, n = np.unique(_pair_hash(h[:-1][both], h[1:][both]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+        for h in _positions(batches):
+            *_, (_, key) = _live_runs(h, sent.value, len(sent.value) + 1)
+            runs, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(n)], ["run", "n"])
 
-    return texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def lead_windows(texts: DataFrame, words: Screen, pairs: Screen, order: int = 4) -> DataFrame:
-    """(w1, ..., n): counted windows of ``order`` words in lead columns, padded with 0 behind the last word of a piece."""
-    context = texts.sparkSession.sparkContext
-    sent, names = context.broadcast((words, pairs)), [f"w{i}" for i in range(1, order + 1)]
+def lead_windows(texts: DataFrame, screens: list[Screen], order: int = 4) -> DataFrame:
+    """(w1, ..., n): windows of ``order`` words in lead columns, padded with 0 behind the last word of a piece; counted per task."""
+    sent, names = texts.sparkSession.sparkContext.broadcast(screens), [f"w{i}" for i in range(1, order + 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        screen, live = sent.value
-        for h in _positions(batches, screen):
-            link = np.zeros(len(h), bool)  # the word and the next one go on
-            both = np.flatnonzero((h[:-1] != BREAK) & (h[1:] != BREAK))
-            link[both] = live(_pair_hash(h[both], h[both + 1]))
-            columns, on = [h], np.ones(len(h), bool)
-            for lead in range(1, order):
-                on = on & np.append(link[lead - 1:], np.zeros(lead - 1, bool))
-                columns.append(np.where(on, np.append(h[lead:], np.zeros(lead, np.int64)), BREAK))
-            alone, n_alone = np.unique(h[(h != BREAK) & ~link], return_counts=True)
-            many = np.stack(columns)[:, link]
+        for h in _positions(batches):
+            columns = np.zeros((order, len(h)), np.int64)
+            for lead, (at, _) in enumerate(_live_runs(h, sent.value, order)):
+                columns[lead, at] = h[at + lead]
+            alone, n_alone = np.unique(columns[0, (columns[0] != BREAK) & (columns[1] == BREAK)], return_counts=True)
+            many = columns[:, columns[1] != BREAK]
             many = many[:, np.lexsort(many[::-1])]
             new = np.ones(many.shape[1], bool)
             new[1:] = (many[:, 1:] != many[:, :-1]).any(axis=0)
@@ -173,12 +181,11 @@ def lead_windows(texts: DataFrame, words: Screen, pairs: Screen, order: int = 4)
             rows = [np.concatenate([many[i, first], alone if i == 0 else np.zeros(len(alone), np.int64)]) for i in range(order)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.concatenate([n_many, n_alone]).astype(np.int64))], [*names, "n"])
 
-    schema = ", ".join(f"{c} long" for c in [*names, "n"])
-    return texts.mapInArrow(count, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
 
 
 def marginal_counts(windows: DataFrame, order: int, least: int) -> DataFrame:
-    """(phrase, size, f): ROLLUP of counted windows to all their prefixes, as arrays of word hashes; ``least`` or more."""
+    """(phrase, size, f): ROLLUP of windows to all their prefixes, as arrays of word hashes; ``least`` or more."""
     names = [f"w{i}" for i in range(1, order + 1)]
     rolled = windows.rollup(*names).agg(F.sum("n").alias("f"), F.grouping_id().alias("g")).where(F.col("f") >= least)
     size = F.lit(order) - F.expr("bit_count(g)")
@@ -224,9 +231,10 @@ def mine_collocations(documents: DataFrame, least: int = 30, order: int = 4, top
     vocabulary = stored(count_words(texts))
     totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
     known = vocabulary.where(F.col("n") >= least)
-    words = build_screen(known, "h", screen_bits)
-    pairs = build_screen(count_pairs(texts, words).where(F.col("n") >= least), "pair", screen_bits)
-    phrases = stored(marginal_counts(lead_windows(texts, words, pairs, order), order, least))
+    screens = [build_screen(known, "h", screen_bits)]
+    while len(screens) < order - 1:
+        screens.append(build_screen(count_runs(texts, screens).where(F.col("n") >= least), "run", screen_bits))
+    phrases = stored(marginal_counts(lead_windows(texts, screens, order), order, least))
     held = weakest_cuts(phrases, scale).join(covered_by_longer(phrases), "phrase", "left")
     held = held.where(F.coalesce(_exact("longer") * 100 < _exact("a") * cover_percent, F.lit(True))).drop("longer")
     spelt = held.select("*", F.posexplode("phrase").alias("at", "h")).join(known.select("h", "lang", "word"), "h")
