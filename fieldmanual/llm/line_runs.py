@@ -82,7 +82,7 @@ class LineRuns:
         """Count a batch's lines, leave out those that the runs know as frequent, and add the rest as a run."""
         fresh = count_lines(documents, text, self.least).groupBy(*HASH).agg(F.sum("docs").alias("docs"))
         for run in self.runs():
-            fresh = fresh.join(self.spark.table(run).where("often").select(*HASH), HASH, "left_anti")
+            fresh = fresh.join(self.spark.table(run).where("often").select(*HASH).hint("merge"), HASH, "left_anti")
         self._push(self._write(fresh), 0)
 
     def _push(self, run: str, level: int) -> None:
