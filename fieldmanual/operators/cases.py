@@ -279,22 +279,19 @@ def confirm_cases(cases: DataFrame, outcome: DataFrame) -> DataFrame:
         "review", F.when(F.col("__d"), "confirmed").otherwise(F.col("review"))).drop("__d")
 
 
-CODE_SHAPE = r"([A-Z]{2,5}-[0-9A-F]{1,2}(?:-[0-9A-F]{1,2})?|#?[0-9A-F]{2}H?-[0-9A-F]{2}|[0-9A-F]{8}|[0-9A-F]{4})"
-
-
 def _substrings(c: Column, lengths: Column) -> Column:
     ok = F.filter(lengths, lambda n: n <= F.length(c))
     return F.array_distinct(F.flatten(F.transform(ok, lambda n: F.transform(
         F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))))
 
 
-def match_entries(queries: DataFrame, entries: DataFrame, qid: str = "query_id", question: str = "question",
-                  names: str | None = None, k: int = 4, code_shape: str = CODE_SHAPE,
+def match_entries(queries: DataFrame, entries: DataFrame, code_shape: str, qid: str = "query_id", question: str = "question",
+                  names: str | None = None, k: int = 4,
                   haystack: Sequence[str] = ("title", "error_code", "unit")) -> DataFrame:
     """Tiered matching of alarm questions to entries: key 12, code part 10, alarm name 8, main code 3, words.
 
     Each tier is an equi-join (on key, on code substrings, on one word of the name, on the main code),
-    so no question meets entries it shares nothing with.  ``names`` holds the words of the alarm name.
+    so no question meets entries it shares nothing with.  ``code_shape`` is a pattern whose first group is a code; ``names`` holds the words of the alarm name.
     """
     upper = F.upper(question)
     q = queries.withColumn("codes", F.array_distinct(F.regexp_extract_all(upper, F.lit(code_shape), 1)))
@@ -344,8 +341,8 @@ def match_entries(queries: DataFrame, entries: DataFrame, qid: str = "query_id",
     return top_k(one, [qid], [F.desc("score"), F.desc("occ_count"), F.col("id")], k)
 
 
-def attach_references(entries: DataFrame, passages: DataFrame, kinds: Sequence[str] = ("error_code", "manual"),
-                      n: int = 3, code_shape: str = CODE_SHAPE, seq: str = "seq", kind: str = "doc_type",
+def attach_references(entries: DataFrame, passages: DataFrame, code_shape: str, kinds: Sequence[str] = ("error_code", "manual"),
+                      n: int = 3, seq: str = "seq", kind: str = "doc_type",
                       excerpt_chars: int | None = None) -> DataFrame:
     """First ``n`` passages of the given kinds that mention an entry's first code.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldmanual.functions import text as tx
 from fieldmanual.operators.ordered import cut_lineage, top_k
+from fieldmanual.operators.search_index import SearchIndex
 
 # Okapi parameters (Robertson & Zaragoza 2009).
 K1, B = 1.2, 0.75
@@ -45,10 +46,11 @@ def prepare_queries(queries: DataFrame, key: str = "query_id", question: str = "
             .filter(F.size("terms") > 0).withColumn("anchor", anchor["t"]))
 
 
-def terms_in_words(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+def terms_in_words(terms: DataFrame, vocab: DataFrame | None, tails: DataFrame | None = None) -> DataFrame:
     """(term, word, times) for every vocabulary word that contains a term.
 
-    A term is looked up by its rarest gram (three characters, or the whole of a shorter term).
+    A term is looked up by its rarest gram (three characters, or the whole of a shorter term) among the ``tails``
+    (tail, word) that an index stores, or those of ``vocab``.
     """
     t = terms.select("term").distinct().withColumn("g", F.least(F.length("term"), F.lit(3)))
     term_grams = (t.select("term", "g", F.explode(tx.tails("term", 3)).alias("tail")).filter(F.length("tail") >= F.col("g"))
@@ -57,9 +59,9 @@ def terms_in_words(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     # At most three lengths, in one row.
     sizes = F.broadcast(t.agg(F.collect_set("g").alias("sizes")))
     heads = F.transform(F.filter("sizes", lambda n: n <= F.length("tail")), lambda n: F.substr(F.col("tail"), F.lit(1), n))
-    word_grams = (vocab.select("word").distinct().join(sizes, F.lit(True))
-                  .select("word", "sizes", F.explode(tx.tails("word", 3)).alias("tail"))
-                  .select("word", F.explode(heads).alias("gram")).join(wanted, "gram", "left_semi"))
+    if tails is None:
+        tails = vocab.select("word").distinct().select("word", F.explode(tx.tails("word", 3)).alias("tail"))
+    word_grams = (tails.join(sizes, F.lit(True)).select("word", F.explode(heads).alias("gram")).join(wanted, "gram", "left_semi"))
     word_grams = cut_lineage(word_grams)
     # The rarest gram is chosen on counts; a term with an unseen gram matches nothing.
     weight = word_grams.groupBy("gram").agg(F.count("*").alias("words"))
@@ -76,113 +78,108 @@ def term_passages(terms: DataFrame, postings: DataFrame, seq: str = "seq") -> Da
     return postings.join(found, "word").select("term", seq).distinct()
 
 
-def term_frequencies(terms: DataFrame, passages: DataFrame, postings: DataFrame, seq: str = "seq", text: str = "text") -> DataFrame:
+def indexed_passages(terms: DataFrame, index: SearchIndex) -> DataFrame:
+    """(term, seq) of the passages that contain each term, from the postings of the words that contain it."""
+    found = cut_lineage(terms_in_words(terms, None, index.tails()).select("term", "word"))
+    return index.postings(found).join(found, "word").select("term", index.seq).distinct()
+
+
+def term_frequencies(terms: DataFrame, index: SearchIndex) -> DataFrame:
     """(term, df): number of passages that contain each term.
 
-    Terms of up to three characters occur nearly everywhere, so they are read off the distinct grams of
-    each passage; longer ones go through the vocabulary.
+    Terms of up to three characters occur nearly everywhere; their numbers are stored in the index.  Longer ones are
+    counted from the postings of their words.
     """
-    t = terms.select("term").distinct().withColumn("g", F.length("term"))
-    short = t.filter("g <= 3")
-    sizes = F.broadcast(short.agg(F.collect_set("g").alias("sizes")))
-    heads = F.flatten(F.transform(tx.tails(F.lower(text), 3), lambda x: F.transform(
-        F.filter("sizes", lambda n: n <= F.length(x)), lambda n: F.substr(x, F.lit(1), n))))
-    by_gram = (passages.join(sizes, F.lit(True)).select(F.explode(F.array_distinct(heads)).alias("term"))
-               .join(short.select("term"), "term").groupBy("term").agg(F.count("*").alias("df")))
-    by_word = (term_passages(t.filter("g > 3"), postings, seq).groupBy("term").agg(F.count("*").alias("df")))
-    return by_gram.unionByName(by_word)
-
-
-def candidates(prepared: DataFrame, postings: DataFrame, key: str, seq: str) -> DataFrame:
-    """(key, seq) of the passages that contain the anchor term of a query."""
+    t = terms.select("term").distinct()
+    by_gram = index.gram_df().join(t.withColumnRenamed("term", "gram"), "gram").select(F.col("gram").alias("term"), "df")
+    long = t.filter(F.length("term") > 3)
+    return by_gram.unionByName(indexed_passages(long, index).groupBy("term").agg(F.count("*").alias("df")))
+
+
+def candidates(prepared: DataFrame, index: SearchIndex, key: str, visible: DataFrame | None = None) -> DataFrame:
+    """(key, seq) of the passages, among ``visible`` ones if given, that contain the anchor term of a query."""
     anchors = prepared.select(key, F.col("anchor").alias("term"))
-    return term_passages(anchors, postings, seq).join(anchors, "term").select(key, seq)
+    met = indexed_passages(anchors, index)
+    if visible is not None:
+        met = met.join(visible.select(index.seq).distinct(), index.seq, "left_semi")
+    return met.join(anchors, "term").select(key, index.seq)
 
 
-def search_like(passages: DataFrame, queries: DataFrame, key: str = "query_id", question: str = "question",
-                seq: str = "seq", text: str = "text", cols: Sequence[str] = ("text",), limit: int | None = 8,
-                index: DataFrame | None = None, visible: DataFrame | None = None) -> DataFrame:
-    """Every term must occur in one of the columns, ignoring case; scored by case-sensitive counts.
+def _verified(index: SearchIndex, prepared: DataFrame, key: str, visible: DataFrame | None, where, keep: Sequence[str]) -> DataFrame:
+    """(key, seq, terms, raw_terms, __hay, ...) of passages that hold all terms of a query and meet ``where`` (a condition on stored columns)."""
+    rows = index.passages()
+    if where is not None:
+        rows = rows.where(where)
+    rows = rows.select(index.seq, "__hay", "__len", *[F.col(c).alias(f"__{c}") for c in keep])
+    return (rows.join(candidates(prepared, index, key, visible), index.seq).join(prepared.select(key, "raw_terms", "terms"), key)
+            .filter(F.forall("terms", lambda t: F.col("__hay").contains(t))))
 
-    ``visible`` (rows of seq) restricts the passages before ranking and limit.
-    """
-    q = prepare_queries(queries, key, question)
-    postings = index if index is not None else cut_lineage(build_word_index(passages, seq, cols))
-    if visible is not None:
-        postings = postings.join(visible.select(seq).distinct(), seq, "left_semi")
-    cand = candidates(q, postings, key, seq)
-    joined = (passages.select(seq, F.lower(haystack(cols)).alias("__hay"), F.col(text).alias("__text"))
-              .join(cand, seq).join(q.select(key, "raw_terms", "terms"), key)
-              .filter(F.forall("terms", lambda t: F.col("__hay").contains(t))))
-    score = -F.aggregate("raw_terms", F.lit(0).cast("long"),
-                         lambda a, t: a + tx.occurrences(F.col("__text"), t))
-    hits = joined.select(key, seq, score.alias("score"))
-    return top_k(hits, [key], [F.col("score"), F.col(seq)], limit) if limit else hits
 
+def search_like(passages: DataFrame | None, queries: DataFrame, key: str = "query_id", question: str = "question",
+                seq: str = "seq", text: str = "text", cols: Sequence[str] = ("text",), limit: int | None = 8,
+                index: SearchIndex | None = None, visible: DataFrame | None = None, where=None) -> DataFrame:
+    """Every term must occur in one of the index's columns, ignoring case; scored by case-sensitive counts in the text.
 
-def passage_stats(passages: DataFrame, text: str = "text") -> DataFrame:
-    """One row: passage count and mean length in grams."""
-    return passages.agg(F.count("*").alias("n_passages"),
-                        F.avg(F.greatest(F.length(text) - 2, F.lit(0))).alias("avg_len"))
+    ``visible`` (rows of seq) and ``where`` (a condition on the passages' type, model or other columns) restrict the
+    passages before ranking and limit.  Without an index, one is built from ``passages`` over ``cols``.
+    """
+    index = index or SearchIndex.build(passages, seq=seq, cols=cols)
+    found = _verified(index, prepare_queries(queries, key, question), key, visible, where, [text])
+    score = -F.aggregate("raw_terms", F.lit(0).cast("long"), lambda a, t: a + tx.occurrences(F.col(f"__{text}"), t))
+    hits = found.select(key, index.seq, score.alias("score"))
+    return top_k(hits, [key], [F.col("score"), F.col(index.seq)], limit) if limit else hits
 
 
-def search_bm25(passages: DataFrame, queries: DataFrame, key: str = "query_id", question: str = "question",
-                seq: str = "seq", text: str = "text", limit: int | None = 8, index: DataFrame | None = None,
-                visible: DataFrame | None = None) -> DataFrame:
-    """All terms of a query must occur (as case-folded substrings); lower score is better.
+def search_bm25(passages: DataFrame | None, queries: DataFrame, key: str = "query_id", question: str = "question",
+                seq: str = "seq", text: str = "text", limit: int | None = 8, index: SearchIndex | None = None,
+                visible: DataFrame | None = None, where=None, cols: Sequence[str] | None = None) -> DataFrame:
+    """All terms of a query must occur (as case-folded substrings) in the index's columns; lower score is better.
 
-    Term counts and lengths are taken over all passages; ``visible`` filters before ranking and limit.
+    Term counts and lengths are taken over all passages; ``visible`` and ``where`` filter before ranking and limit.
     """
-    q = prepare_queries(queries, key, question)
-    postings = index if index is not None else cut_lineage(build_word_index(passages, seq, [text]))
-    seen = postings if visible is None else postings.join(visible.select(seq).distinct(), seq, "left_semi")
-    cand = candidates(q, seen, key, seq)
-    verified = (passages.select(seq, F.lower(text).alias("__text"))
-                .join(cand, seq).join(q.select(key, "terms"), key)
-                .filter(F.forall("terms", lambda t: F.col("__text").contains(t))))
-    tf = verified.select(key, seq, F.greatest(F.length("__text") - 2, F.lit(0)).alias("len"), F.explode(F.transform(
-        "terms", lambda t: F.struct(t.alias("term"), tx.occurrences(F.col("__text"), t).alias("tf")))).alias("x")
-                         ).select(key, seq, "len", "x.*")
+    index = index or SearchIndex.build(passages, seq=seq, cols=cols or [text])
+    found = _verified(index, prepare_queries(queries, key, question), key, visible, where, [])
+    tf = found.select(key, index.seq, F.col("__len").alias("len"), F.explode(F.transform(
+        "terms", lambda t: F.struct(t.alias("term"), tx.occurrences(F.col("__hay"), t).alias("tf")))).alias("x")).select(key, index.seq, "len", "x.*")
     # A few rows per verified hit, read for the term counts and for the scores.
     tf = cut_lineage(tf)
-    df = term_frequencies(tf, passages, postings, seq, text)
     # One row, so the product is a plain column append.
-    stats = F.broadcast(passage_stats(passages, text))
+    stats = F.broadcast(index.stats())
     idf = F.greatest(F.log((F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.nullif(F.col("avg_len"), F.lit(0))))
-    scored = (tf.join(df, "term").join(stats, F.lit(True)).groupBy(key, seq)
+    scored = (tf.join(term_frequencies(tf, index), "term").join(stats, F.lit(True)).groupBy(key, index.seq)
               .agg((-F.round(F.sum(part), 6)).alias("score")))
-    return top_k(scored, [key], [F.col("score"), F.col(seq)], limit) if limit else scored
+    return top_k(scored, [key], [F.col("score"), F.col(index.seq)], limit) if limit else scored
 
 
-def search_with_fallback(passages: DataFrame, queries: DataFrame, key: str = "query_id",
-                         question: str = "question", index: DataFrame | None = None, cols: Sequence[str] | None = None,
-                         like_index: DataFrame | None = None, **options) -> DataFrame:
+def search_with_fallback(passages: DataFrame | None, queries: DataFrame, key: str = "query_id",
+                         question: str = "question", index: SearchIndex | None = None, cols: Sequence[str] | None = None,
+                         like_index: SearchIndex | None = None, **options) -> DataFrame:
     """Okapi search; queries with no hit, or with short ideograph terms, take the LIKE search.
 
-    The LIKE search looks in all of ``cols`` (the text alone if not given), whose words ``like_index`` holds.
+    The LIKE search looks in all of ``cols`` (the text alone if not given), which ``like_index`` holds.
     """
     seq, text = options.get("seq", "seq"), options.get("text", "text")
     cols = list(cols or [text])
-    index = index if index is not None else cut_lineage(build_word_index(passages, seq, [text]))
+    index = index or SearchIndex.build(passages, seq=seq, cols=[text])
     if like_index is None:
-        like_index = index if cols == [text] else cut_lineage(build_word_index(passages, seq, cols))
-    ranked = cut_lineage(search_bm25(passages, queries.filter(~tx.needs_like(question)), key, question, index=index, **options))
+        like_index = index if cols == [text] else SearchIndex.build(passages, seq=seq, cols=cols)
+    ranked = cut_lineage(search_bm25(None, queries.filter(~tx.needs_like(question)), key, question, index=index, **options))
     rest = queries.join(ranked.select(key).distinct(), key, "left_anti")
-    like = search_like(passages, rest, key, question, index=like_index, cols=cols, **options)
+    like = search_like(None, rest, key, question, index=like_index, **options)
     columns = ranked.columns
     return (ranked.withColumn("score", F.col("score").cast("double")).withColumn("method", F.lit("bm25"))
             .unionByName(like.select(*columns).withColumn("score", F.col("score").cast("double"))
                          .withColumn("method", F.lit("like"))))
 
 
-def search_exact(passages: DataFrame, codes: DataFrame, key: str = "query_id", code: str = "code", **options) -> DataFrame:
+def search_exact(passages: DataFrame | None, codes: DataFrame, key: str = "query_id", code: str = "code", **options) -> DataFrame:
     """The whole code as one phrase; short codes take the LIKE search."""
     phrase = codes.withColumn(code, F.regexp_replace(F.trim(code), r"\s+", ""))
     return search_with_fallback(passages, phrase, key, code, **options)
 
 
-def retrieve_lexical(passages: DataFrame, questions: DataFrame, key: str = "query_id",
+def retrieve_lexical(passages: DataFrame | None, questions: DataFrame, key: str = "query_id",
                      question: str = "question", codes: str | None = None,
                      expansions: str | None = None, key_terms: str | None = None, limit: int = 8, extra_limit: int = 5,
                      each: int = 4, **options) -> DataFrame:

@@ -40,6 +40,17 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return str(Path(tempfile.mkdtemp(prefix="fieldmanual-checkpoint-")))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A folder below the one that ``spark.checkpoint.dir`` names; in local mode without it, below one of this application."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = _checkpoint_dir(spark)
+    return f"{_folders[app]}/{name}"
+
+
+_folders: dict[str, str] = {}
+
+
 def _blocked(df: DataFrame, seq: str, width: int) -> DataFrame:
     return df.withColumn(_BLOCK, F.floor(F.col(seq) / F.lit(width)).cast("long"))
 

@@ -218,13 +218,17 @@ def confirmed_entries(t: Tables):
     return cs.confirm_entries(brand_entries(t), chosen(t))[0].groupBy("status", "edited").agg(F.count("*").alias("n"))
 
 
+# Codes of the alarms and parts below.
+CODES = r"(STG-[0-9A-F]{2}-1B|[0-9]{4})"
+
+
 @query("matched_entries", f"""WITH {ENTRIES}, q AS (SELECT n_nationkey AS query_id, 'STG-' || printf('%02X', n_nationkey * 2 + 1) || '-1B' AS code, printf('%02X', n_nationkey * 2 + 1) AS main FROM nation),
 h AS (SELECT query_id, en.*, CASE WHEN match_key = main || '-1B' THEN 12 ELSE 3 END AS score FROM q JOIN en ON substr(match_key, 1, 2) = main),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, machine, match_key ORDER BY score DESC, occ_count DESC, id) AS g FROM h)
 SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, occ_count DESC, id) AS BIGINT) AS place FROM o WHERE g = 1 QUALIFY place <= 4""")
 def matched_entries(t: Tables):
     q = t.nation.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("alarm STG-"), F.lpad(F.hex(F.col("n_nationkey") * 2 + 1), 2, "0"), F.lit("-1B again")).alias("question"))
-    return cs.match_entries(q, brand_entries(t)).select("query_id", "id", "score", F.col("rank").cast("long").alias("place"))
+    return cs.match_entries(q, brand_entries(t), CODES).select("query_id", "id", "score", F.col("rank").cast("long").alias("place"))
 
 
 @query("matched_keywords", f"""WITH {ENTRIES}, q AS (SELECT r_regionkey AS query_id, ['red', 'bolt', 'ring', 'blue', 'small'][r_regionkey + 1] AS w FROM region),
@@ -234,7 +238,7 @@ SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER
 def matched_keywords(t: Tables):
     word = F.element_at(F.array(*[F.lit(w) for w in ("red", "bolt", "ring", "blue", "small")]), F.col("r_regionkey") + 1)
     q = t.region.select(F.col("r_regionkey").alias("query_id"), F.concat(word, F.lit(", Widget")).alias("question"))
-    return cs.match_entries(q, brand_entries(t)).select("query_id", "id", "score", F.col("rank").cast("long").alias("place"))
+    return cs.match_entries(q, brand_entries(t), CODES).select("query_id", "id", "score", F.col("rank").cast("long").alias("place"))
 
 
 @query("entry_stats", f"WITH {ENTRIES} SELECT machine, unit, count(*) AS n_entries, CAST(sum(occ_count) AS BIGINT) AS occurrences FROM en GROUP BY ROLLUP (machine, unit)")
@@ -298,7 +302,7 @@ def attached_references(t: Tables):
     e = t.part.select(F.col("p_partkey").alias("id"), code.alias("error_code"))
     text = F.concat(F.lit("code "), F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0"))
     p = t.orders.select(F.col("o_orderkey").alias("seq"), text.alias("text"), F.lit("manual").alias("doc_type"))
-    return cs.attach_references(e, p).select("id", "seq")
+    return cs.attach_references(e, p, CODES).select("id", "seq")
 
 
 # Audit, inventory, measurement ---------------------------------------------------------------------

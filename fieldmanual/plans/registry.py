@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldmanual.operators.search_index import SearchIndex
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -34,6 +36,17 @@ class Tables:
         return df
 
 
+_indexes: dict[tuple, SearchIndex] = {}
+
+
+def stored_index(t: Tables, name: str, passages: DataFrame, cols: Sequence[str] = ("text",)) -> SearchIndex:
+    """The search index of a table, built by the first query of an application that asks for it and read by all others."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name, *cols)
+    if key not in _indexes:
+        _indexes[key] = SearchIndex.build(passages, cols=cols)
+    return _indexes[key]
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of :class:`Tables` under a name, with the SQL that checks it."""
     def add(fn):

@@ -8,7 +8,8 @@ from fieldmanual.functions import questions as qs
 from fieldmanual.functions import text as tx
 from fieldmanual.operators import fusion, lexical, retrieve, tokens, vectors
 from fieldmanual.operators.ordered import cut_lineage, top_k
-from fieldmanual.plans.registry import Tables, query
+from fieldmanual.operators.search_index import SearchIndex
+from fieldmanual.plans.registry import Tables, query, stored_index
 
 
 def s(c):
@@ -23,6 +24,11 @@ def passages(t: Tables):
     return t.documents.select(F.col("doc_id").alias("seq"), "text", "source", "lang")
 
 
+def text_index(t: Tables):
+    """The stored index over the text of all passages, with their source and language as further columns."""
+    return stored_index(t, "passages", passages(t))
+
+
 TERMS = r"""list_distinct(list_filter(string_split_regex(regexp_replace({c}, '["*()]', ' ', 'g'), '\s+'), lambda x: x <> ''))"""
 Q = "q AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
 P = "p AS (SELECT doc_id AS seq, text, source, lang FROM documents)"
@@ -59,12 +65,12 @@ def trigram_index(t: Tables):
 
 @query("search_like", f"WITH {Q}, {P}, {like_sql()} SELECT * FROM like_hits")
 def search_like(t: Tables):
-    return lexical.search_like(passages(t), asked(t))
+    return lexical.search_like(None, asked(t), index=text_index(t))
 
 
 @query("search_bm25", f"WITH {Q}, {P}, {bm25_sql()} SELECT query_id, seq, round(score, 4) AS score FROM bm25_hits")
 def search_bm25(t: Tables):
-    return lexical.search_bm25(passages(t), asked(t)).select("query_id", "seq", F.round("score", 4).alias("score"))
+    return lexical.search_bm25(None, asked(t), index=text_index(t)).select("query_id", "seq", F.round("score", 4).alias("score"))
 
 
 def source_questions(t: Tables):
@@ -75,18 +81,36 @@ def source_questions(t: Tables):
 WITH q AS (SELECT DISTINCT source AS query_id, 'the ' || source AS question FROM documents), {P}, {like_sql("text || chr(10) || source || chr(10) || lang")}
 SELECT query_id, seq, CAST(score AS DOUBLE) AS score, rank, 'like' AS method FROM like_hits""")
 def search_fallback(t: Tables):
-    return lexical.search_with_fallback(passages(t), source_questions(t), cols=["text", "source", "lang"])
+    cols = ["text", "source", "lang"]
+    return lexical.search_with_fallback(None, source_questions(t), index=text_index(t), cols=cols, like_index=stored_index(t, "passages", passages(t), cols))
 
 
 LONGEST = r"""WITH w AS (SELECT item_id, unnest(string_split_regex(text, '\s+')) AS w FROM benchmark),
 q AS (SELECT item_id AS query_id, max(row(length(w), w))[2] AS question FROM w GROUP BY item_id)"""
 
 
+@query("search_filtered", f"""WITH {Q}, {P}, {bm25_sql(where="lang = 'en' AND source <> 'src0'")} SELECT query_id, seq, round(score, 4) AS score FROM bm25_hits""")
+def search_filtered(t: Tables):
+    kind = (F.col("lang") == "en") & (F.col("source") != "src0")
+    return lexical.search_bm25(None, asked(t), index=text_index(t), where=kind).select("query_id", "seq", F.round("score", 4).alias("score"))
+
+
+@query("search_refreshed", f"""WITH {Q}, p AS (SELECT doc_id AS seq, text FROM documents WHERE lang <> 'es'), {bm25_sql()}
+SELECT query_id, seq, round(score, 4) AS score FROM bm25_hits""")
+def search_refreshed(t: Tables):
+    """Part of the passages is indexed, the rest appended, and a language deleted again."""
+    p = passages(t)
+    index = SearchIndex.build(p.where("lang = 'en'"))
+    index.append(p.where("lang <> 'en'"))
+    index.delete(p.where("lang = 'es'"))
+    return lexical.search_bm25(None, asked(t), index=index).select("query_id", "seq", F.round("score", 4).alias("score"))
+
+
 @query("search_exact", f"""{LONGEST}, {P}, {bm25_sql()} SELECT query_id, seq, round(score, 4) AS score FROM bm25_hits""")
 def search_exact(t: Tables):
     word = F.array_max(F.transform(F.split("question", r"\s+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
     codes = asked(t).select("query_id", word.alias("code"))
-    return lexical.search_exact(passages(t), codes).select("query_id", "seq", F.round("score", 4).alias("score"))
+    return lexical.search_exact(None, codes, index=text_index(t)).select("query_id", "seq", F.round("score", 4).alias("score"))
 
 
 @query("short_ideograph_terms", r"""
@@ -121,7 +145,7 @@ SELECT CAST(string_split(query_id, '#')[1] AS BIGINT) AS query_id, seq, term_ord
 def lexical_with_terms(t: Tables):
     word = F.array_max(F.transform(F.split("question", r"\s+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
     q = asked(t).withColumn("terms", F.array(word))
-    return lexical.retrieve_lexical(passages(t), q, key_terms="terms").select("query_id", "seq", "term_order", "rank", "position")
+    return lexical.retrieve_lexical(None, q, key_terms="terms", index=text_index(t)).select("query_id", "seq", "term_order", "rank", "position")
 
 
 def part_pages(t: Tables):
@@ -455,5 +479,5 @@ SELECT query_id, seq, round(score, 4) AS score, f.source, d.source AS doc_name,
 JOIN (SELECT doc_id, source FROM documents) d ON d.doc_id = f.seq WHERE n <= 6""")
 def hybrid_retrieval(t: Tables):
     p = passages(t).withColumnRenamed("source", "doc_name")
-    out = retrieve.retrieve_hybrid(p, asked(t), CODE, COMPONENT, CONCEPT, payload=["doc_name"])
+    out = retrieve.retrieve_hybrid(p, asked(t), CODE, COMPONENT, CONCEPT, payload=["doc_name"], index=text_index(t))
     return out.select("query_id", "seq", F.round("score", 4).alias("score"), "source", "doc_name", "kind")
