@@ -230,7 +230,7 @@ r AS (SELECT user_id, event_id, n, i, 0 AS b, CASE WHEN n = 1 THEN 1 ELSE 0 END
 m AS (SELECT user_id, start, count_if(n > 0) AS n_steps, max(event_id) AS seq_end, string_agg(CASE WHEN n = 0 THEN 'see item ' || event_id WHEN n = 1 THEN 'Check item ' || event_id WHEN n = 2 THEN 'Press item ' || event_id ELSE 'Set item ' || event_id END, ' ' ORDER BY event_id) AS body
   FROM r WHERE st > 0 AND (n = 0 OR (st = n AND (n = 1 OR b = n - 1))) GROUP BY ALL),
 h AS (SELECT user_id, event_id AS start, CASE WHEN sub <> '' THEN sub ELSE intro END AS title FROM r WHERE n = 1)
-SELECT user_id AS doc_id, start AS seq_start, seq_end, CAST(n_steps AS INTEGER) AS n_steps, title, md5(body) AS body FROM m JOIN h USING (user_id, start) WHERE n_steps >= 2 AND length(body) < 280""")
+SELECT user_id AS doc_id, start AS seq_start, seq_end, CAST(n_steps AS INTEGER) AS n_steps, title, md5(body) AS body FROM m JOIN h USING (user_id, start) WHERE n_steps >= 2""")
 def procedures(t: Tables):
     out = pr.split_procedures(pr.line_stream(event_manual(t)))
     body = F.array_join(F.transform("steps", lambda x: F.concat_ws(" ", x["text"], F.nullif(x["detail"], F.lit("")))), " ")
@@ -260,9 +260,9 @@ def procedure_groups(t: Tables):
 
 
 RANKED = """q AS (SELECT r_regionkey AS query_id, ['red', 'bolt', 'ring', 'blue', 'small'][r_regionkey + 1] AS w FROM region),
-tm AS (SELECT query_id, w AS term FROM q UNION SELECT query_id, 'widget' FROM q), pt AS (SELECT term, p_partkey, row_number() OVER (PARTITION BY term ORDER BY p_partkey) AS r FROM (SELECT DISTINCT term FROM tm) JOIN part ON contains(lower(p_name || ' ' || p_type || ' ' || p_size), term)),
+tm AS (SELECT query_id, w AS term FROM q UNION SELECT query_id, 'widget' FROM q), pt AS (SELECT term, p_partkey FROM (SELECT DISTINCT term FROM tm) JOIN part ON contains(lower(p_name || ' ' || p_type || ' ' || p_size), term)),
 sim AS (SELECT query_id, p_partkey, p_size / 100.0 AS score FROM q JOIN part ON p_partkey % 5 = query_id AND p_size > 40),
-st AS (SELECT query_id, p_partkey, score FROM sim UNION ALL SELECT DISTINCT query_id, p_partkey, 0.3 FROM tm JOIN pt USING (term) WHERE r <= 200 AND NOT EXISTS (SELECT 1 FROM sim WHERE sim.query_id = tm.query_id AND sim.p_partkey = pt.p_partkey)),
+st AS (SELECT query_id, p_partkey, score FROM sim UNION ALL SELECT DISTINCT query_id, p_partkey, 0.3 FROM tm JOIN pt USING (term) WHERE NOT EXISTS (SELECT 1 FROM sim WHERE sim.query_id = tm.query_id AND sim.p_partkey = pt.p_partkey)),
 sc AS (SELECT query_id, p.*, round((score + 0.06 * (CAST(contains(lower(p_name || ' ' || p_type || ' ' || p_size), w) AS INTEGER) + CAST(contains(lower(p_name || ' ' || p_type || ' ' || p_size), 'widget') AS INTEGER)) + CASE WHEN p_size % 5 = 0 THEN 0.08 ELSE 0 END)
   * (0.85 + 0.15 * CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.6 END) + 0.005 * least(p_size, 10), 6) AS score FROM st JOIN part p USING (p_partkey) JOIN q USING (query_id))"""
 
