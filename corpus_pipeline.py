@@ -29,12 +29,16 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least key of every group of near duplicates; documents without words stay."""
-    classes = jaccard.jaccard_join(docs)
-    lost = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    key = F.struct("doc_id").cast("string")
-    kept = docs.withColumn("__k", key).join(lost.select(key.alias("__k")), "__k", "left_anti").drop("__k")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Keep the document with the least key of every group of near duplicates; documents without words stay.
+
+    Rows are told apart by key and text (a 64-bit hash of both), so other texts under a repeated or null key stay.  A null
+    key counts as the greatest; of rows with equal key and text one stays.
+    """
+    keyed = docs.withColumn("__k", F.xxhash64(F.lit(1), key_text("doc_id"), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit(""))))
+    classes = jaccard.jaccard_join(keyed, key="__k").select(F.col("doc_id").alias("__k"), F.col("component_id").alias("__c"))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__k").alias("k"))
+    first = classes.join(keyed.select("__k", "doc_id"), "__k").groupBy("__c").agg(F.min(place)["k"].alias("__k"))
+    return keyed.join(first.select("__k"), "__k", "left_semi").dropDuplicates(["__k"]).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +47,14 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of every document as the mix of sources takes, which may be none."""
-    copies = mixing.mix_sources(docs).select(F.col("doc_id").alias("__d"), "copies").groupBy("__d").agg(F.max("copies").alias("copies"))
-    met = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__d")))
-    return met.where("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """As many copies of every document as the mix of sources takes, which may be none.
+
+    Rows are told apart by a 64-bit hash of all their columns; equal rows are one row with the copies of all of them.
+    """
+    keyed = docs.withColumn("__k", F.xxhash64(*[F.struct(c).cast("string") for c in docs.columns]))
+    copies = mixing.mix_sources(keyed, key="__k").groupBy(F.col("doc_id").alias("__k")).agg(F.sum("copies").alias("copies"))
+    met = keyed.dropDuplicates(["__k"]).join(copies.where("copies > 0"), "__k")
+    return met.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

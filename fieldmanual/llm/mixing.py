@@ -8,10 +8,9 @@ inside one margin the Hessian is diagonal, so each step updates all of its multi
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,7 +45,8 @@ def entropy_balance(cells: DataFrame, margins: Mapping[str, DataFrame], mass: st
 
     A cell is a combination of margin values with the tokens of its documents.  Values without a target and
     values with target 0 get rate 0.  Steps go on until no constraint is off by more than ``tolerance`` of its
-    target, or ``most_steps`` are done (margins that contradict each other have no solution).
+    target, or ``most_steps`` are done (margins that contradict each other have no solution); a warning then tells how
+    far the worst constraint is off.  A step raises a rate by the factor e at most, so that far targets do not overflow.
     """
     named = cells.withColumn("log_rate", F.lit(0.0))
     multipliers = {}
@@ -59,13 +59,13 @@ def entropy_balance(cells: DataFrame, margins: Mapping[str, DataFrame], mass: st
     for more in allowed[1:]:
         live = live & more
     named = stored(named.withColumn("live", live & (F.col(mass) > 0)))
-    done = 0
+    done, worst = 0, 0.0
     while done < most_steps:
         worst = 0.0
         for i, column in multipliers.items():
             held = named.where("live").groupBy(column).agg(
                 F.sum(F.col(mass) * F.exp("log_rate")).alias("__held"), F.first(f"__t{i}").alias("__goal"))
-            step = held.select(F.col(column).alias("__key"), (-(F.col("__held") - F.col("__goal")) / F.col("__held")).alias("__step"),
+            step = held.select(F.col(column).alias("__key"), F.least((F.col("__goal") - F.col("__held")) / F.col("__held"), F.lit(1.0)).alias("__step"),
                                (F.abs(F.col("__held") - F.col("__goal")) / F.col("__goal")).alias("__off"))
             step = stored(step)
             off = step.agg(F.max("__off")).first()[0]
@@ -77,22 +77,31 @@ def entropy_balance(cells: DataFrame, margins: Mapping[str, DataFrame], mass: st
             break
         if done % 4 == 0:
             named = stored(named)
+    if worst > tolerance:
+        warnings.warn(f"after {done} steps a constraint is off by {worst:.3g} of its target", stacklevel=2)
     rate = F.when(F.col("live"), F.exp("log_rate")).otherwise(F.lit(0.0))
     return named.withColumn("rate", rate).drop("log_rate", "live", *[f"__t{i}" for i in multipliers])
 
 
-def _round_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies for one bucket: largest documents first, each rounded so that the words owed stay near 0."""
-    rows = rows.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")
-    copies = np.zeros(len(rows), np.int64)
-    owed = float(rows["start"].iloc[0])
-    for i, (size, rate) in enumerate(zip(rows["size"].to_numpy(), rows["rate"].to_numpy())):
-        low = int(np.floor(rate + 1e-12))
-        owed += (rate - low) * size
-        up = rate - low > 1e-12 and owed * 2 >= size and owed > 0
-        copies[i] = low + up
-        owed -= size * up
-    return rows.assign(copies=copies)[["doc_id", "source", "size", "source_size", "target", "copies"]]
+def round_rates(rated: DataFrame, bucket_rows: int = 8192) -> DataFrame:
+    """Add ``copies`` to rows with ``source``, ``source_rows``, ``size``, ``rate`` and ``order``: whole numbers next to the rate.
+
+    All rows of a source have one rate.  In the order of a hash, rows take the higher number until they hold the words that
+    the lower number leaves open, so a source is off by half a document at most.  The hash axis of each source is cut into
+    ranges of about ``bucket_rows`` rows; what is taken in one range enters the next as a running sum of the ranges.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / bucket_rows))
+    place = (F.col("order").cast("double") / float(2 ** 64) + 0.5) * parts
+    rated = rated.withColumn("bucket", F.least(F.floor(place), parts - 1))
+    sums = rated.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    before = F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    starts = sums.select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), F.coalesce(before, F.lit(0)).alias("start"))
+    met = rated.join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b"))).drop("__s", "__b")
+    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("order", "size").rowsBetween(W.unboundedPreceding, 0))
+    low = F.floor(F.col("rate") + 1e-12)
+    share = F.when(F.col("rate") - low > 1e-12, F.col("rate") - low).otherwise(0.0)
+    up = (F.col("size") > 0) & (F.col("start") + inside - F.col("size") / 2 <= share * F.col("source_size")) & (share > 0)
+    return met.withColumn("copies", (low + up.cast("int")).cast("long")).drop("bucket", "start")
 
 
 def mix_sources(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, bucket_rows: int = 8192, key: str = "doc_id",
@@ -100,9 +109,9 @@ def mix_sources(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), cap:
     """Copies per document that bring every source near its target number of words.
 
     A document's size is its number of words (null text: 0).  A null source is a source of its own, last in order.
-    Repeated rows are separate documents.  No document gets more than ``ceil(cap)`` copies.  Rounding works in
-    buckets of about ``bucket_rows`` rows of one source, dealt by a hash of key and size, so a large source spreads
-    over many tasks and reruns agree.  An empty table gives no rows; a source without words takes none.
+    Repeated rows are separate documents.  No document gets more than ``ceil(cap)`` copies.  Rounding goes by a hash of
+    key and size, in ranges of about ``bucket_rows`` rows of one source (see :func:`round_rates`), so a large source
+    spreads over many tasks, a source ends within half a document of its target, and reruns agree.  An empty table gives no rows; a source without words takes none.
     """
     slim = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = stored(slim)
@@ -111,11 +120,8 @@ def mix_sources(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), cap:
     rates = entropy_balance(cells, {"source": targets}).select("source", "rate")
     plan = targets.join(rates.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     plan = stored(plan.withColumnRenamed("source", "__s"))
-    buckets = max(1, sizes.count() // bucket_rows)
-    order = F.xxhash64(F.col("doc_id"), F.col("size"))
+    rows = sizes.groupBy(F.col("source").alias("__n")).agg(F.count("*").alias("source_rows"))
+    plan = stored(plan.join(rows, F.col("__s").eqNullSafe(F.col("__n"))).drop("__n"))
     rated = sizes.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    rated = rated.withColumns({"order": order, "bucket": F.pmod(order, F.lit(buckets)), "start": F.lit(0.0)})
-    kinds = dict(sizes.dtypes)
-    rounded = rated.groupBy("source", "bucket").applyInPandas(
-        _round_bucket, f"doc_id {kinds['doc_id']}, source {kinds['source']}, size long, source_size long, target double, copies long")
+    rounded = round_rates(rated.withColumn("order", F.xxhash64(F.col("doc_id"), F.col("size"))), bucket_rows)
     return rounded.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -416,3 +416,18 @@ def test_packed_pivots():
     for n in (1, 2, 300):
         rows = np.frombuffer(random.bytes(n * jaccard.ROW.itemsize), jaccard.ROW)
         assert (jaccard._rows(jaccard._block(rows)) == rows).all()
+
+
+@pytest.mark.parametrize("bucket_rows", [8, 50, 100_000])
+def test_mixing_meets_targets_of_many_small_sources(spark, bucket_rows):
+    rows = [(1000 * s + i, "w " * (1 + (i * 7 + s) % 19), None, f"source{s:04d}") for s in range(300) for i in range(20)]
+    out = mixing.mix_sources(docs_of(spark, rows), bucket_rows=bucket_rows)
+    per = out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("largest"), F.max(F.col("taken") / F.col("size")).alias("times"))
+    assert per.where((F.abs(F.col("taken") - F.col("target")) > F.col("largest")) | (F.col("times") > 3)).count() == 0 and per.count() == 300
+
+
+def test_far_targets_do_not_overflow(spark):
+    cells = spark.createDataFrame([("a", 1), ("b", 5)], "source string, mass long")
+    goals = spark.createDataFrame([("a", 2000.0), ("b", 0.001)], "source string, target double")
+    rates = {r.source: r.rate for r in mixing.entropy_balance(cells, {"source": goals}).collect()}
+    assert abs(rates["a"] - 2000) < 1e-3 and abs(rates["b"] - 0.0002) < 1e-9

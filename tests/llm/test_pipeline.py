@@ -36,3 +36,15 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, FOLDER)
         assert out.count() == 0
+
+
+def test_repeated_and_null_keys_lose_no_text(spark):
+    a, b, c = "one text with quite some words in it", "another text that has nothing in common here", "a third text under a null key is kept too"
+    rows = [(3, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (None, a, "en", "s", 1), (None, c, "en", "s", 1), (9, "last of all texts, short", "en", "s", 1), (9, None, "en", "s", 1), (8, "", "en", "s", 1)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = corpus_pipeline.one_of_each_group(spark, docs, FOLDER)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(3, a), (5, b), (None, c), (9, rows[5][1]), (9, None), (8, "")]))
+    two = stored(spark.createDataFrame([(1, "x " * 10, None, "p", 1), (1, "y " * 30, None, "q", 1), (None, "z " * 20, None, "q", 1), (None, "z " * 20, None, "q", 1)], docs.schema))
+    size = {"p": 10, "q": 70}
+    mixed = collections.Counter(r.source for r in corpus_pipeline.mixed_to_weights(spark, two, FOLDER).collect() for _ in r.text.split())
+    assert sum(mixed.values()) > 0 and all(mixed[s] <= 3 * size[s] for s in mixed)
