@@ -287,6 +287,18 @@ def vector_topk_approx(t: Tables):
     return vectors.vector_topk_approx(label_centroids(t), t.embeddings)
 
 
+@query("approximate_recall", """SELECT count(*) AS n_queries, true AS recall_reached, true AS few_scored
+FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0)""")
+def approximate_recall(t: Tables):
+    """Every twentieth vector asks for its nearest: recall of the approximate search against the exact one, and its share of exactly scored pairs."""
+    k, n = 8, t.embeddings.count()
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    keep = max(k, n // 12)
+    found = vectors.vector_topk_approx(asked, t.embeddings, k, keep=keep)
+    per = vectors.topk_recall(found, vectors.vector_topk(asked, t.embeddings, k, threshold=-1.0))
+    return per.agg(F.count("*").alias("n_queries"), (F.sum("n_found") / F.sum("n_exact") >= 0.9).alias("recall_reached")).withColumn("few_scored", F.lit(keep * 10 < n))
+
+
 TFIDF = r"""w AS (SELECT doc_id AS seq, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS f FROM documents),
 tf AS (SELECT seq, f, count(*) AS tf FROM w GROUP BY ALL), vo AS (SELECT f, count(*) AS df FROM tf GROUP BY f), nd AS (SELECT count(*) AS n FROM documents),
 rw AS (SELECT seq, f, tf * ln((n + 1) / (df + 1)) AS w FROM tf JOIN vo USING (f), nd), nw AS (SELECT seq, sqrt(sum(w * w)) AS norm FROM rw WHERE w > 0 GROUP BY seq),
