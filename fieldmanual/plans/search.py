@@ -493,3 +493,39 @@ def hybrid_retrieval(t: Tables):
     p = passages(t).withColumnRenamed("source", "doc_name")
     out = retrieve.retrieve_hybrid(p, asked(t), CODE, COMPONENT, CONCEPT, payload=["doc_name"], index=text_index(t))
     return out.select("query_id", "seq", F.round("score", 4).alias("score"), "source", "doc_name", "kind")
+
+
+KEY_WORDS = ("ciónes", "enung", "éleau", "ingth")
+
+
+@query("hybrid_staged", rf"""
+WITH {Q}, {P},
+q0 AS (SELECT query_id || '#0' AS query_id, regexp_replace(question, '[?？]', ' ', 'g') AS question FROM q), {bm25_sql(8, n="0")},
+kt AS (SELECT query_id, unnest(l) AS question, unnest(range(1, len(l) + 1)) AS i FROM (SELECT query_id, list_filter(['{"', '".join(KEY_WORDS)}'], lambda w: contains(lower(question), w)) AS l FROM q)),
+q1 AS (SELECT query_id || '#' || i AS query_id, question FROM kt WHERE i <= 4), {bm25_sql(8, n="1")},
+lx AS (SELECT CAST(string_split(query_id, '#')[1] AS BIGINT) AS query_id, seq, min(CAST(string_split(query_id, '#')[2] AS BIGINT) * 1000 + rank) AS k
+  FROM (SELECT * FROM bm25_hits0 UNION ALL SELECT * FROM bm25_hits1 WHERE rank <= 5) GROUP BY ALL),
+sq AS (SELECT * FROM q), {TFIDF}, {QTFIDF},
+kd AS (SELECT query_id, CASE WHEN regexp_matches(question, '[0-9]{{3}}') THEN 'exact' WHEN regexp_matches(question, '(?i)ent[ ,.]') THEN 'component' WHEN regexp_matches(question, '(?i)tion') THEN 'concept' ELSE 'hybrid' END AS kind FROM q),
+wt AS (SELECT *, CASE kind WHEN 'exact' THEN 0.7 WHEN 'concept' THEN 0.3 ELSE 0.5 END AS wl FROM kd),
+ch AS (SELECT query_id, seq, 0 AS l, row_number() OVER (PARTITION BY query_id ORDER BY k, seq) - 1 AS r FROM lx UNION ALL SELECT query_id, seq, 1, rank - 1 FROM sparse_hits),
+mg AS (SELECT query_id, seq, round(sum(CASE WHEN l = 0 THEN wl ELSE 1 - wl END / (60 + r)), 6) AS score, min(l * 1000 + r) AS first, kind FROM ch JOIN wt USING (query_id) GROUP BY query_id, seq, kind),
+ps AS (SELECT m.*, p.lang, p.source AS doc_name, coalesce(p.source = 'src1' AND query_id % 3 > 0, false) AS b, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, seq) AS p0 FROM mg m JOIN p USING (seq)),
+dm AS (SELECT *, CASE WHEN b THEN score * 0.25 ELSE score END AS s1 FROM ps),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id, b ORDER BY s1 DESC, p0) AS n FROM dm),
+dp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s1 DESC, p0) AS p1 FROM dr WHERE NOT b OR n <= 2),
+md AS (SELECT *, round(s1 * CASE WHEN query_id % 2 = 0 THEN 1.0 WHEN lang = 'en' THEN 1.0 WHEN lang = 'fr' THEN 0.8 ELSE 0.5 END, 6) AS s2 FROM dp WHERE p1 <= 36 AND (query_id % 2 > 0 OR lang = 'en')),
+mp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, p1) AS p2 FROM md),
+bl AS (SELECT *, CASE WHEN seq % 3 > 0 THEN seq % 97 END AS m FROM mp WHERE p2 <= 12),
+bn AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS cn, row_number() OVER (PARTITION BY query_id ORDER BY p2) - 1 AS ro, row_number() OVER (PARTITION BY query_id ORDER BY m DESC NULLS LAST, p2) - 1 AS rm FROM bl),
+bf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(0.6 / (CASE WHEN m IS NULL THEN cn ELSE rm END + 3) + 0.4 / (ro + 3), 6) DESC, p2) AS position FROM bn)
+SELECT query_id, position, seq, doc_name, kind, round(s2, 4) AS score FROM bf WHERE position <= 6""")
+def hybrid_staged(t: Tables):
+    """All stages: key terms, a demoted type, families named by every second question, and an order blended with a model's scores."""
+    p = passages(t).withColumnRenamed("source", "doc_name").withColumn("tags", F.array("lang"))
+    named = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("en"))).otherwise(F.array().cast("array<string>"))
+    q = asked(t).withColumn("named", named)
+    scores = p.where("seq % 3 > 0").select("seq", (F.col("seq") % 97).alias("model_score"))
+    out = retrieve.retrieve_hybrid(p, q, CODE, COMPONENT, CONCEPT, payload=["doc_name", "tags"], index=text_index(t), words=KEY_WORDS,
+                                   demoted=(F.col("doc_name") == "src1") & (F.col("query_id") % 3 > 0), tags="tags", named="named", priority=["en", "fr"], model_scores=scores)
+    return out.select("query_id", "position", "seq", "doc_name", "kind", F.round("score", 4).alias("score"))
