@@ -82,7 +82,7 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, lis
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(lang, word, n, h) of all words of ``texts`` (lang, text); ``h`` names the word within its language."""
+    """(lang, word, n) of all words of ``texts`` (lang, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, Counter] = {}
@@ -101,7 +101,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         yield from out()
 
     found = texts.mapInArrow(count, "lang string, word string, n long")
-    return found.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("h", F.xxhash64("lang", "word"))
+    return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 class _Hashes(dict):
@@ -228,9 +228,10 @@ def mine_collocations(documents: DataFrame, least: int = 30, order: int = 4, top
     """
     least = max(1, least)
     texts = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("text <> ''")
-    vocabulary = stored(count_words(texts))
+    # Frequent words, and one row per language with the number of all others.
+    vocabulary = stored(count_words(texts).groupBy("lang", F.when(F.col("n") >= least, F.col("word")).alias("word")).agg(F.sum("n").alias("n")))
     totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
-    known = vocabulary.where(F.col("n") >= least)
+    known = vocabulary.where("word is not null").withColumn("h", F.xxhash64("lang", "word"))
     screens = [build_screen(known, "h", screen_bits)]
     while len(screens) < order - 1:
         screens.append(build_screen(count_runs(texts, screens).where(F.col("n") >= least), "run", screen_bits))
