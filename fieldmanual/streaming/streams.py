@@ -13,19 +13,15 @@ from pyspark.sql import functions as F
 
 from fieldmanual.functions.text import short_id, whole_or_sections
 from fieldmanual.operators import cases
-from fieldmanual.operators.ordered import keep_spaced
-
-DAY_US = 86_400_000_000
-
+from fieldmanual.operators.ordered import WIDTH, keep_spaced
 
 def throttle_events(events: DataFrame, keys: Sequence[str] = ("uid", "ip", "action"), seconds: int = 60, ts: str = "ts",
                     ok: str = "ok", ident: str = "id", last_kept: DataFrame | None = None,
-                    block_us: int = DAY_US) -> DataFrame:
+                    width: int = WIDTH) -> DataFrame:
     """Keep a success only ``seconds`` after the last kept event of its key; failures are always kept.
 
-    Keys are cut into blocks of ``block_us`` (a day; less for busier keys), so one busy key is spread
-    over many tasks.  ``last_kept`` (keys, ts) carries
-    the state of an earlier batch.
+    Keys are cut into blocks of ``width`` events, so one busy key or day is spread over many tasks.
+    ``last_kept`` (keys, ts) carries the state of an earlier batch.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = events.select(*keys, us.alias("__us"), F.col(ident).cast("long").alias("__id"), (~F.col(ok)).alias("__fail"), F.lit(False).alias("__past"))
@@ -34,7 +30,7 @@ def throttle_events(events: DataFrame, keys: Sequence[str] = ("uid", "ip", "acti
                                 F.lit(-1).cast("long").alias("__id"), F.lit(True).alias("__fail"), F.lit(True).alias("__past"))
         rows = rows.unionByName(past)
     marked = keep_spaced(rows, keys, "__us", F.col("__us"), F.col("__us"), seconds * 1_000_000,
-                         force=F.col("__fail"), out="__kept", width=block_us, tie="__id")
+                         force=F.col("__fail"), out="__kept", width=width, tie="__id")
     kept = marked.filter("__kept and not __past").select(F.col("__id").alias(ident))
     return events.join(kept, ident, "left_semi")
 

@@ -60,3 +60,62 @@ def test_finite_scan_equals_walk(spark):
     for _, q, y in rows:
         before, state = state, table[state][y]
         assert got[q] == (before, state)
+
+
+@pytest.mark.parametrize("width", [1, 7, 65_536])
+def test_sparse_ids_of_one_key(spark, monkeypatch, width):
+    """Ids in steps of 10^9, below and above zero, all rows under one null key, runs of three blocks."""
+    monkeypatch.setattr(od, "FAN", 3)
+    rnd = random.Random(width)
+    rows, at = [], 0
+    for i in range(90):
+        at += rnd.choice([0, 3, 25])
+        rows.append((None, (i - 40) * 10**9, at, rnd.randrange(3), rnd.choice([None, "v", "w"]), rnd.random() < 0.03))
+    df = spark.createDataFrame(rows, "k string, q long, at long, y int, v string, f boolean")
+    one = od.running_sum(df, ["k"], "q", "y", "total", width=width)
+    got = {r.q: r for r in od.carry(one, ["k"], "q", F.col("v"), "last", width=width).collect()}
+    nxt = {r.q: r.n for r in od.carry(df, ["k"], "q", F.col("v"), "n", direction="next", width=width).collect()}
+    total, last = 0, None
+    for i, (_, q, _, y, v, _) in enumerate(rows):
+        total, last = total + y, v or last
+        assert (got[q].total, got[q].last) == (total, last)
+        assert nxt[q] == next((r[4] for r in rows[i:] if r[4]), None)
+    spaced = od.keep_spaced(df, ["k"], "q", F.col("at"), F.col("at"), 60, force=F.col("f"), width=width).filter("opens")
+    assert sorted(r.q for r in spaced.collect()) == walk([(r[1], r[2], r[2], r[5]) for r in rows], 60)
+    table = [[0, 1, 0], [1, 2, 0], [2, 0, 1]]
+    scan = {r.q: (r.state_before, r.state_after) for r in od.finite_scan(df, ["k"], "q", "y", table, 2, width=width).collect()}
+    state = 2
+    for _, q, _, y, _, _ in rows:
+        before, state = state, table[state][y]
+        assert scan[q] == (before, state)
+
+
+@pytest.mark.parametrize("width", [1, 7, 65_536])
+def test_one_day_of_one_key(spark, monkeypatch, width):
+    """Many events of one second, ties settled by id: as the plain walk."""
+    from fieldmanual.streaming import streams
+
+    monkeypatch.setattr(od, "FAN", 3)
+    rnd = random.Random(5)
+    rows = sorted(((rnd.randrange(-500, 500), 1_700_000_000_000_000 + rnd.randrange(40) * 250_000, rnd.random() < 0.9) for _ in range(80)),
+                  key=lambda r: (r[1], r[0]))
+    rows = list({r[0]: r for r in rows}.values())
+    rows.sort(key=lambda r: (r[1], r[0]))
+    events = spark.createDataFrame([(i, "u", us, ok) for i, us, ok in rows], "id long, uid string, us long, ok boolean").selectExpr(
+        "id", "uid", "timestamp_micros(us) as ts", "ok")
+    got = streams.throttle_events(events, ["uid"], 2, width=width)
+    assert sorted(r.id for r in got.collect()) == sorted(walk([(i, us, us, not ok) for i, us, ok in rows], 2_000_000))
+
+
+def test_jumps_by_doubling():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for n in (1, 2, 50):
+        nxt = np.minimum(np.arange(n) + rnd.integers(1, 4, n), n)
+        for at in range(n):
+            seen, i = [], at
+            while i < n:
+                seen.append(i)
+                i = int(nxt[i])
+            assert od._openers_from(nxt, at).tolist() == seen and od._last_openers(nxt)[at] == seen[-1]
