@@ -131,28 +131,48 @@ def follow_keys(groups: DataFrame) -> DataFrame:
     return keys.unionByName(cables)
 
 
-def trace_roots(groups: DataFrame, start: str) -> DataFrame:
-    """Edges that hold a connector of the start text; else its cable; else its device name."""
-    spark = groups.sparkSession
-    one = spark.range(1).select(cd.connector_keys(F.lit(start)).alias("k"), cd.cable_number(F.lit(start)).alias("c"))
-    keys, cable = one.first()
-    by_key = groups.filter(F.arrays_overlap("keys", F.array(*[F.lit(k) for k in keys]))) if keys else groups.limit(0)
-    if keys and not by_key.isEmpty():
-        return by_key.select("gid")
-    by_cable = groups.filter(F.col("cab") == cable) if cable else groups.limit(0)
-    if cable and not by_cable.isEmpty():
-        return by_cable.select("gid")
-    low = start.lower()
-    return groups.filter(F.lower("a_device").contains(low) | F.lower("b_device").contains(low)).select("gid")
+def trace_roots(groups: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start_id, gid): edges that hold a connector of the start text; else its cable; else its device name.
+
+    Null and empty starts have no roots.  Device names are found by one gram of the start and then compared,
+    so starts meet only names that hold the gram.
+    """
+    asked = starts.select("start_id", F.col("start").cast("string").alias("start")).filter("start <> ''")
+    keys = asked.select("start_id", F.explode(cd.connector_keys("start")).alias("key")).distinct()
+    held = groups.select("gid", F.explode("keys").alias("key"))
+    by_key = keys.join(held, "key").select("start_id", "gid", F.lit(0).alias("way"))
+    cables = asked.select("start_id", cd.cable_number("start").alias("cab")).filter("cab is not null")
+    by_cable = cables.join(groups.select("gid", "cab"), "cab").select("start_id", "gid", F.lit(1).alias("way"))
+    devices = (groups.select("gid", F.explode(F.array("a_device", "b_device")).alias("d")).filter("d <> ''")
+               .select("gid", F.lower("d").alias("device")))
+    low = F.lower("start")
+    grams = F.flatten(F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("device") - n + 1, F.lit(1))), lambda i: F.substr(F.col("device"), i, n))))
+    named = devices.select("device").distinct().select("device", F.explode(F.array_distinct(grams)).alias("gram"))
+    texts = asked.select("start_id", low.alias("low"), F.substring(low, 1, 3).alias("gram"))
+    by_name = (texts.join(named, "gram").filter(F.col("device").contains(F.col("low"))).join(devices, "device")
+               .select("start_id", "gid", F.lit(2).alias("way")))
+    found = by_key.unionByName(by_cable).unionByName(by_name).distinct()
+    first = found.groupBy("start_id").agg(F.min("way").alias("way"))
+    return found.join(first, ["start_id", "way"]).select("start_id", "gid")
 
 
 def trace(groups: DataFrame, pages: DataFrame, start: str, max_hops: int = 3, variants: DataFrame | None = None,
           junction: int = 3) -> DataFrame:
-    """Breadth-first edges around a start: (depth, parent, via, gid, pins_unknown, folded).
+    """:func:`trace_many` of one start text."""
+    starts = groups.sparkSession.createDataFrame([(0, start)], "start_id long, start string")
+    return trace_many(groups, pages, starts, max_hops, variants, junction).drop("start_id")
+
+
+def trace_many(groups: DataFrame, pages: DataFrame, starts: DataFrame, max_hops: int = 3,
+               variants: DataFrame | None = None, junction: int = 3) -> DataFrame:
+    """Breadth-first edges around every start: (start_id, depth, parent, via, gid, pins_unknown, folded).
 
-    Each key is used once.  Within a level, edges with known pins go first, then lower ids; that order
-    settles which edge claims a key or a neighbour.  Folded rows fail the pin test at a junction and
-    are not followed.  One reliable checkpoint per hop keeps the plan flat.
+    ``starts`` (start_id, start); ids are unique and not null.  All starts advance together, in at most
+    ``max_hops`` rounds: frontier, used keys and seen edges carry the start.  A start uses each key once.
+    Within a level, edges with known pins go first, then lower ids; that order settles which edge claims a
+    key or a neighbour.  Folded rows fail the pin test at a junction and are not followed.  The prepared
+    edges are written once, each round once more (reliable checkpoints), which keeps the plan flat.
     """
     spark = groups.sparkSession
     groups, pages = cut_lineage(groups), cut_lineage(pages)
@@ -167,53 +187,52 @@ def trace(groups: DataFrame, pages: DataFrame, start: str, max_hops: int = 3, va
     # Small columns only; computed once and read by every hop.
     index = cut_lineage(links.join(base, "gid"))
     local_index = index.filter(~F.col("wide")).join(pages, "gid")
-    schema = "depth int, parent long, via string, gid long, pins_unknown boolean, folded boolean"
-    roots = trace_roots(groups, start).select(
-        F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("string").alias("via"),
-        F.col("gid").cast("long").alias("gid"), F.lit(False).alias("pins_unknown"), F.lit(False).alias("folded"))
-    done = cut_lineage(spark.createDataFrame([], schema).unionByName(roots))
-    start_keys = spark.range(1).select(F.explode(cd.connector_keys(F.lit(start))).alias("key"))
-    cable = spark.range(1).select(F.concat(F.lit("C:"), cd.cable_number(F.lit(start))).alias("key")).filter("key is not null")
-    used = start_keys.unionByName(cable)
-    frontier = done.select("gid")
+    starts = cut_lineage(starts.select("start_id", F.col("start").cast("string").alias("start")))
+    done = cut_lineage(trace_roots(groups, starts).select(
+        "start_id", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("string").alias("via"),
+        F.col("gid").cast("long").alias("gid"), F.lit(False).alias("pins_unknown"), F.lit(False).alias("folded")))
+    cable = F.concat(F.lit("C:"), cd.cable_number("start"))
+    used = starts.select("start_id", F.explode(F.array_compact(F.array_append(cd.connector_keys("start"), cable))).alias("key"))
+    frontier = done.select("start_id", "gid")
     order = F.struct(F.col("pins").isNull(), F.col("gid"))
+    at = ["start_id", "key"]
     for depth in range(1, max_hops + 1):
-        heads = index.join(frontier, "gid", "left_semi")
-        claims = (heads.join(used, "key", "left_anti").groupBy("key", "wide")
+        claims = (index.join(frontier, "gid").join(used, at, "left_anti").groupBy(*at, "wide")
                   .agg(F.min_by(F.struct("gid", "pins", "vars"), order).alias("h")))
-        claims = cut_lineage(claims.select("key", "wide", F.col("h.gid").alias("parent"), F.col("h.pins").alias("ppins"),
+        claims = cut_lineage(claims.select(*at, "wide", F.col("h.gid").alias("parent"), F.col("h.pins").alias("ppins"),
                                            F.col("h.vars").alias("pvars")))
-        seen = done.filter("not folded").select("gid")
+        seen = done.filter("not folded").select("start_id", "gid")
         fits = F.col("vars").isNull() | F.col("pvars").isNull() | F.arrays_overlap("vars", "pvars")
         wide = index.filter("wide").select("gid", "key", "pins", "vars").join(claims.filter("wide").drop("wide"), "key").filter(fits)
         near = claims.filter("not wide").drop("wide").join(pages.withColumnRenamed("gid", "parent"), "parent")
         local = (local_index.select("gid", "key", "pins", "vars", "doc", "page").join(near, ["key", "doc", "page"])
-                 .drop("doc", "page").dropDuplicates(["gid", "key"]))
-        cand = wide.unionByName(local).join(seen, "gid", "left_anti")
-        judged = filter_junction(cand, junction)
+                 .drop("doc", "page").dropDuplicates(["start_id", "gid", "key"]))
+        cand = wide.unionByName(local).join(seen, ["start_id", "gid"], "left_anti")
+        judged = filter_junction(cand, junction, at)
         parent_pins = F.struct(F.col("ppins").isNull(), F.col("parent"), F.col("key"))
-        kept = (judged.filter("not folded").groupBy("gid")
+        kept = (judged.filter("not folded").groupBy("start_id", "gid")
                 .agg(F.min_by(F.struct("parent", "key", "pins_unknown"), parent_pins).alias("x"))
-                .select(F.lit(depth).alias("depth"), "x.parent", F.col("x.key").alias("via"), "gid", "x.pins_unknown",
+                .select("start_id", F.lit(depth).alias("depth"), "x.parent", F.col("x.key").alias("via"), "gid", "x.pins_unknown",
                         F.lit(False).alias("folded")))
-        folded = judged.filter("folded").select(F.lit(depth).alias("depth"), "parent", F.col("key").alias("via"), "gid",
-                                                F.lit(False).alias("pins_unknown"), F.lit(True).alias("folded"))
+        folded = judged.filter("folded").select(
+            "start_id", F.lit(depth).alias("depth"), "parent", F.col("key").alias("via"), "gid",
+            F.lit(False).alias("pins_unknown"), F.lit(True).alias("folded"))
         level = cut_lineage(kept.unionByName(folded))
-        frontier = level.filter("not folded").select("gid")
+        frontier = level.filter("not folded").select("start_id", "gid")
         done = done.unionByName(level)
-        if frontier.isEmpty():
+        if depth == max_hops or frontier.isEmpty():
             break
-        used = cut_lineage(used.unionByName(claims.select("key")).distinct())
+        used = used.unionByName(claims.select(*at))
     return done
 
 
-def filter_junction(cand: DataFrame, junction: int = 3) -> DataFrame:
+def filter_junction(cand: DataFrame, junction: int = 3, at: Sequence[str] = ("key",)) -> DataFrame:
     """At a key with ``junction`` or more candidates the incoming pins decide: overlap or unknown stays."""
-    n = cand.groupBy("key").agg(F.count("*").alias("__n"))
+    n = cand.groupBy(*at).agg(F.count("*").alias("__n"))
     test = (F.col("__n") >= junction) & F.col("ppins").isNotNull()
     unknown = test & F.col("pins").isNull()
     clash = test & F.col("pins").isNotNull() & ~F.coalesce(F.arrays_overlap("pins", "ppins"), F.lit(False))
-    return cand.join(n, "key").withColumn("pins_unknown", unknown).withColumn("folded", clash).drop("__n")
+    return cand.join(n, list(at)).withColumn("pins_unknown", unknown).withColumn("folded", clash).drop("__n")
 
 
 def best_start_page(hits: DataFrame, key: str = "query_id", factor: str = "factor") -> DataFrame:

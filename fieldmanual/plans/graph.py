@@ -98,7 +98,46 @@ def connection_trace(t: Tables):
     return wi.trace(groups, pages, TRACE_START, 3).select("depth", "gid")
 
 
-@query("junction_trace")
+def bay_edges(t: Tables):
+    """The wiring rows with one supplier connector per bay, a bay for each remainder of the part number by 26."""
+    bay = F.char(65 + F.floor(F.col("edge_id") / 10000000) % 26)
+    return edges(t).withColumn("b_conn", F.concat("b_conn", bay))
+
+
+BAY_EDGES = EDGES.replace("(l_suppkey + 50000)", "(l_suppkey + 50000) || chr(CAST(65 + l_partkey % 26 AS INTEGER))")
+
+
+def trace_sql(starts: str, hops: int, rows: str = EDGES) -> str:
+    """Levels of a trace with pins for starts ``u0 (start_id, key)`` over edges whose keys all cross pages."""
+    ctes = [rows, f"u0 AS ({starts})",
+            "pn AS (SELECT gr.gid, list_distinct(flatten(list(range(lo, hi + 1)))) AS pins FROM gr JOIN eg ON eg.cab = gr.cab AND eg.ka = gr.ka AND eg.kb IS NOT DISTINCT FROM gr.kb GROUP BY gr.gid)",
+            "links AS (SELECT gid, key FROM gk UNION ALL SELECT gid, 'C:' || cab FROM gr JOIN ck USING (cab))",
+            "l0 AS (SELECT DISTINCT start_id, gid, NULL::BIGINT AS parent, NULL::VARCHAR AS via FROM gk JOIN u0 USING (key))",
+            "s0 AS (SELECT start_id, gid FROM l0)"]
+    for i in range(1, hops + 1):
+        p = i - 1
+        ctes += [f"c{i} AS (SELECT start_id, key, min(gid) AS parent FROM l{p} JOIN links USING (gid) ANTI JOIN u{p} USING (start_id, key) GROUP BY ALL)",
+                 f"m{i} AS (SELECT start_id, key, parent, links.gid FROM c{i} JOIN links USING (key) ANTI JOIN s{p} USING (start_id, gid))",
+                 f"j{i} AS (SELECT m.*, count(*) OVER (PARTITION BY start_id, key) >= 3 AND NOT list_has_any(a.pins, b.pins) AS folded FROM m{i} m JOIN pn a ON a.gid = m.parent JOIN pn b ON b.gid = m.gid)",
+                 f"l{i} AS (SELECT start_id, gid, parent, key AS via FROM j{i} WHERE NOT folded QUALIFY row_number() OVER (PARTITION BY start_id, gid ORDER BY parent, key) = 1)",
+                 f"u{i} AS (SELECT start_id, key FROM u{p} UNION SELECT start_id, key FROM c{i})",
+                 f"s{i} AS (SELECT start_id, gid FROM s{p} UNION ALL SELECT start_id, gid FROM l{i})"]
+    cols = "start_id, {0} AS depth, parent, {1} AS via, gid, false AS pins_unknown, {2} AS folded"
+    levels = [f"SELECT {cols.format(i, 'via', 'false')} FROM l{i}" for i in range(hops + 1)]
+    levels += [f"SELECT {cols.format(i, 'key', 'true')} FROM j{i} WHERE folded" for i in range(1, hops + 1)]
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(levels)}"
+
+
+@query("connection_traces", trace_sql("SELECT p_partkey AS start_id, 'J/P' || (p_partkey + 10000) AS key FROM part WHERE p_partkey % 20 = 0", 2, BAY_EDGES))
+def connection_traces(t: Tables):
+    """Traces of two hops for every part whose number is divisible by 20, against all edges."""
+    groups, pages = wi.merge_edges(bay_edges(t))
+    starts = t.part.filter("p_partkey % 20 = 0").select(
+        F.col("p_partkey").alias("start_id"), F.concat(F.lit("J"), (F.col("p_partkey") + 10000).cast("string")).alias("start"))
+    return wi.trace_many(groups, pages, starts, 2)
+
+
+@query("junction_trace", f"SELECT * EXCLUDE (start_id) FROM ({trace_sql("SELECT 0 AS start_id, 'J/P10001' AS key", 3)})")
 def junction_trace(t: Tables):
     """The same trace with pins, where junctions fold branches whose pins do not meet."""
     groups, pages = wi.merge_edges(edges(t))

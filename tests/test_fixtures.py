@@ -142,6 +142,28 @@ def test_trace(spark):
     assert {r.gid for r in wiring.trace(groups, pages, "J1001", 1).collect()} <= set(got)
 
 
+def test_trace_many(spark):
+    """All starts together give what each gives alone; roots by key, else cable, else a part of a device name."""
+    rows = [(1, 1, "J1001", "J1002", None, "Drive Unit", "1~3"), (2, 2, "J1002", "J1003", None, None, "3~4"), (3, 2, "CN1", "J1003", None, None, None),
+            (4, 2, "J1003", "J1009", None, None, "9"), (5, 3, "CN1", "J1005", "4S001-002", "Ab", None), (6, 2, "J1003", "J1010", None, None, "4")]
+    e = spark.createDataFrame([(i, "b", *r) for i, *r in rows],
+                              "edge_id long, doc string, page long, a_conn string, b_conn string, cable string, a_device string, wires string")
+    e = e.selectExpr("*", *[f"cast(null as string) {c}" for c in ("a_mate", "b_mate", "b_device")])
+    groups, pages = wiring.merge_edges(e)
+    texts = ["J1001", "J1003", "4S001-002", "drive", "ab", "b", "nowhere", "", None]
+    starts = spark.createDataFrame(list(enumerate(texts)), "start_id long, start string")
+    got = {}
+    for r in wiring.trace_many(groups, pages, starts).collect():
+        got.setdefault(r.start_id, []).append((r.depth, r.parent, r.via, r.gid, r.pins_unknown, r.folded))
+    assert sorted((d, g, u, f) for d, _, _, g, u, f in got[0]) == [
+        (0, 1, False, False), (1, 2, False, False), (2, 3, True, False), (2, 4, False, True), (2, 6, False, False)]
+    assert {g for d, _, _, g, _, _ in got[1] if d == 0} == {2, 3, 4, 6} and [g for d, _, _, g, _, _ in got[2] if d == 0] == [5]
+    assert {(d, g) for d, _, _, g, _, _ in got[3]} >= {(0, 1), (1, 2)} and {got[i][0][3] for i in (4, 5)} == {5}
+    assert set(got) == {0, 1, 2, 3, 4, 5}
+    alone = wiring.trace(groups, pages, texts[0]).collect()
+    assert sorted(map(str, map(tuple, alone))) == sorted(map(str, got[0]))
+
+
 def test_token_correction(spark):
     def fix(token, known, ctx=None):
         t = spark.createDataFrame([("d", 1, token)], "doc string, page int, token string")

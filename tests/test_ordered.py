@@ -68,9 +68,9 @@ def test_sparse_ids_of_one_key(spark, monkeypatch, width):
     monkeypatch.setattr(od, "FAN", 3)
     rnd = random.Random(width)
     rows, at = [], 0
-    for i in range(90):
+    for i in range(40):
         at += rnd.choice([0, 3, 25])
-        rows.append((None, (i - 40) * 10**9, at, rnd.randrange(3), rnd.choice([None, "v", "w"]), rnd.random() < 0.03))
+        rows.append((None, (i - 20) * 10**9, at, rnd.randrange(3), rnd.choice([None, "v", "w"]), rnd.random() < 0.03))
     df = spark.createDataFrame(rows, "k string, q long, at long, y int, v string, f boolean")
     one = od.running_sum(df, ["k"], "q", "y", "total", width=width)
     got = {r.q: r for r in od.carry(one, ["k"], "q", F.col("v"), "last", width=width).collect()}
@@ -97,7 +97,7 @@ def test_one_day_of_one_key(spark, monkeypatch, width):
 
     monkeypatch.setattr(od, "FAN", 3)
     rnd = random.Random(5)
-    rows = sorted(((rnd.randrange(-500, 500), 1_700_000_000_000_000 + rnd.randrange(40) * 250_000, rnd.random() < 0.9) for _ in range(80)),
+    rows = sorted(((rnd.randrange(-500, 500), 1_700_000_000_000_000 + rnd.randrange(40) * 250_000, rnd.random() < 0.9) for _ in range(40)),
                   key=lambda r: (r[1], r[0]))
     rows = list({r[0]: r for r in rows}.values())
     rows.sort(key=lambda r: (r[1], r[0]))
