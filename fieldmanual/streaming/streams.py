@@ -95,10 +95,16 @@ def stream_ingest(spark: SparkSession, folder: str, path: str, checkpoint: str,
     return write_batches(raw, path, checkpoint, passages)
 
 
-def current_documents(spark: SparkSession, path: str, key: str = "doc_name") -> DataFrame:
-    """Rows of the newest version of each document."""
+def current_documents(spark: SparkSession, path: str, key: str = "doc_id", deleted: DataFrame | None = None) -> DataFrame:
+    """Rows of the newest version of each document.
+
+    ``deleted`` (key, batch) holds tombstones: versions up to that batch are gone, a later one lives again.
+    """
     rows = spark.read.parquet(path)
     newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    if deleted is not None:
+        gone = deleted.groupBy(key).agg(F.max("batch").alias("__until"))
+        newest = newest.join(gone, key, "left").filter("__until is null or batch > __until").drop("__until")
     return rows.join(newest, [key, "batch"], "left_semi").drop("batch")
 
 

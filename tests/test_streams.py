@@ -63,7 +63,12 @@ def test_ingest_keeps_newest_version(spark):
     (src / "sub" / "a.md").write_text("second text")
     (src / "b.md").write_text("other text")
     streams.stream_ingest(spark, str(src), out, ck).awaitTermination(120)
-    assert {(r.doc_name, r.text) for r in streams.current_documents(spark, out).collect()} == {("a.md", "second text"), ("b.md", "other text")}
+    assert {(r.doc_name, r.text) for r in streams.current_documents(spark, out, "doc_name").collect()} == {("a.md", "second text"), ("b.md", "other text")}
+    # Files of one base name are documents of their own; a tombstone ends one of them.
+    now = streams.current_documents(spark, out)
+    assert {r.text for r in now.collect()} == {"first text", "second text", "other text"}
+    first = now.filter("text = 'first text'").select("doc_id", F.lit(0).alias("batch"))
+    assert {r.text for r in streams.current_documents(spark, out, deleted=first).collect()} == {"second text", "other text"}
 
 
 def test_throttle_keeps_negative_ids(spark):
