@@ -8,6 +8,7 @@ from fieldmanual.functions import codes as cd
 from fieldmanual.operators import glossary as gl
 from fieldmanual.operators import procedures as pr
 from fieldmanual.operators import wiring as wi
+from fieldmanual.operators.procedure_store import ProcedureStore
 from fieldmanual.plans.registry import Tables, query
 
 
@@ -284,6 +285,35 @@ def whole_document_steps(t: Tables):
     return pr.whole_document_steps(p).select("doc_id", "n", "text")
 
 
+def library(t: Tables, second: bool):
+    """Manuals of all users but a tenth, or a later state: a tenth changed, a tenth gone, a tenth new."""
+    u = F.col("doc_id")
+    p = event_manual(t).withColumns({"doc_name": F.concat(F.when(u % 10 == 1, "report ").otherwise("manual "), u.cast("string")), "doc_type": F.when(u % 5 == 0, "sop").otherwise("manual"), "model": F.lit("")})
+    return p.filter((u % 10 != 7) & ~((u % 10 == 3) & (F.col("seq") % 7 == 0))) if second else p.filter(u % 10 != 9)
+
+
+@query("rebuilt_procedures", r"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN -1 ELSE 0 END AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events
+  WHERE user_id % 10 <> 7 AND NOT (user_id % 10 = 3 AND event_id % 7 = 0)),
+r AS (SELECT user_id, event_id, n, i, 0 AS b, CASE WHEN n = 1 THEN 1 ELSE 0 END AS st, CASE WHEN n = 1 THEN event_id END AS start, CASE WHEN n = -1 THEN '(2) Part ' || event_id ELSE '' END AS sub, CASE WHEN n = 0 THEN 'see item ' || event_id ELSE '' END AS intro FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, e.i, r.st, CASE WHEN e.n = 1 THEN 1 WHEN e.n = -1 THEN 0 WHEN e.n = 0 OR r.st = 0 THEN r.st WHEN e.n = r.st + 1 THEN e.n WHEN e.n <= r.st THEN 0 ELSE r.st END,
+    CASE WHEN e.n = 1 THEN e.event_id ELSE r.start END, CASE WHEN e.n = -1 THEN '(2) Part ' || e.event_id ELSE r.sub END,
+    CASE WHEN e.n = -1 THEN '' WHEN e.n = 0 AND r.st = 0 THEN 'see item ' || e.event_id ELSE r.intro END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1),
+m AS (SELECT user_id, start, count_if(n > 0) AS n_steps, max(event_id) AS seq_end FROM r WHERE st > 0 AND (n = 0 OR (st = n AND (n = 1 OR b = n - 1))) GROUP BY ALL),
+h AS (SELECT user_id, event_id AS start, CASE WHEN sub <> '' THEN sub ELSE intro END AS title FROM r WHERE n = 1),
+w AS (SELECT user_id, min(event_id) AS start, max(event_id) AS seq_end, count_if(n = -1) + CASE WHEN arg_min(n, event_id) = -1 THEN 0 ELSE 1 END AS n_steps FROM e WHERE user_id % 5 = 0 GROUP BY 1),
+p AS (SELECT user_id, start, seq_end, n_steps, title, 'numbered' AS kind FROM m JOIN h USING (user_id, start) WHERE n_steps >= 2 AND user_id % 5 <> 0 AND user_id % 10 <> 1
+  UNION ALL SELECT user_id, start, seq_end, n_steps, 'manual ' || user_id, 'whole' FROM w)
+SELECT user_id AS doc_id, kind, start AS seq_start, seq_end, CAST(n_steps AS INTEGER) AS n_steps, title, CASE WHEN user_id % 10 = 9 OR (user_id IN (SELECT user_id FROM events WHERE user_id % 10 = 3 AND event_id % 7 = 0)) THEN 2 ELSE 1 END AS built, true AS has_vector FROM p""")
+def rebuilt_procedures(t: Tables):
+    """A store built once, then brought to the later state: only changed and new documents carry the second version."""
+    store = ProcedureStore.create(t.spark)
+    for second in (False, True):
+        store.update(library(t, second), F.col("doc_type") == "sop", F.col("doc_name").startswith("report"),
+                     lambda texts: texts.withColumn("vector", F.array(F.length("text").cast("double"))))
+    return store.procedures().select("doc_id", "kind", "seq_start", "seq_end", "n_steps", "title", "built", F.col("vector").isNotNull().alias("has_vector"))
+
+
 def part_procedures(t: Tables):
     p = F.col("p_partkey")
     steps = F.transform(F.array("p_brand", "p_type", F.lit("Check it")), lambda x, i: F.struct((i + 1).alias("n"), x.alias("text"), F.lit("").alias("detail")))
