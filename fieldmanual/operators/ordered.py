@@ -174,6 +174,11 @@ def _ranked(lean: DataFrame, keys: Sequence[str], width: int, tie: str | None =
             .withColumn("__run", F.floor(F.col(_BLOCK) / F.lit(FAN)).cast("long")))
 
 
+def _long(lean: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of groups of more than one block; a group of one block is entered at its start and needs no map."""
+    return _meet(lean, lean.filter(F.col(_BLOCK) > 0).select(*keys).distinct(), keys, "left_semi")
+
+
 def _fields(df: DataFrame, keys: Sequence[str], *more: str) -> list[T.StructField]:
     by_name = {f.name: f for f in df.schema.fields}
     return [*[by_name[k] for k in keys], *[T.StructField(c, T.LongType()) for c in more]]
@@ -283,7 +288,7 @@ def keep_spaced(df: DataFrame, keys: Sequence[str], seq: str, start: Column, rea
             state = int(x[0]) if state is None else int(_leave(r, x, f, np.array([state]), gap)[0])
         return blocks, states
 
-    paths = lean.groupBy(*names, "__run", _BLOCK).applyInPandas(solve, paths_schema)
+    paths = _long(lean, names).groupBy(*names, "__run", _BLOCK).applyInPandas(solve, paths_schema)
     entries = _entries(paths, names, T.LongType(), compose, follow)
     opened_schema = T.StructType(_fields(lean, names, "__q", "__t"))
 
@@ -394,21 +399,33 @@ def finite_scan(df: DataFrame, keys: Sequence[str], seq: str, symbol: str, table
         after = _prefix_maps(np.array(pdf["exits"].tolist()))[:, first].tolist()
         return pdf[by].tolist(), [first, *after[:-1]]
 
-    maps = lean.groupBy(*names, "__run", _BLOCK).applyInPandas(solve, map_schema)
+    maps = _long(lean, names).groupBy(*names, "__run", _BLOCK).applyInPandas(solve, map_schema)
     entries = _entries(maps, names, T.LongType(), compose, follow)
     state_schema = T.StructType([*_fields(lean, names, "__q"), T.StructField(f"{out}_before", T.IntegerType()),
                                  T.StructField(f"{out}_after", T.IntegerType())])
 
-    def replay(pdf):
+    def replay(batches):
+        """All blocks of a task in order; the first row of a block is a map that forgets what lies before it."""
         import numpy as np
 
-        pdf = pdf.sort_values("__pos").copy()
-        entry = int(pdf["entry"].iloc[0])
-        after = _prefix_maps(np.asarray(table).T[pdf["__y"].to_numpy()])[:, entry]
-        pdf[f"{out}_before"], pdf[f"{out}_after"] = np.r_[entry, after[:-1]], after
-        return pdf[[*names, "__q", f"{out}_before", f"{out}_after"]]
-
-    states = (_meet(lean, entries, _same(names)).groupBy(*_same(names)).applyInPandas(replay, state_schema)
+        steps, state = np.asarray(table).T, start
+        for pdf in batches:
+            y, fresh, entry = (pdf[c].to_numpy() for c in ("__y", "__fresh", "entry"))
+            if not len(pdf):
+                continue
+            first = np.flatnonzero(fresh)
+            maps = steps[y]
+            maps[0] = maps[0][state]
+            maps[first] = steps[y[first], entry[first]][:, None]
+            after = _prefix_maps(maps)[:, 0]
+            before = np.r_[state, after[:-1]]
+            before[first] = entry[first]
+            state = after[-1]
+            yield pdf[[*names, "__q"]].assign(**{f"{out}_before": before.astype("int32"), f"{out}_after": after.astype("int32")})
+
+    entered = _meet(lean, entries, _same(names)).select(*_same(names), "__q", "__pos", "__y", F.coalesce("entry", F.lit(start)).cast("int").alias("entry"),
+                                                        (F.col("__pos") % width == 0).alias("__fresh"))
+    states = (entered.repartition(*_same(names)).sortWithinPartitions(*_same(names), "__pos").mapInPandas(replay, state_schema)
               .withColumnRenamed("__q", seq))
     return _meet(df, states, [*names, seq], "inner")
 
