@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,7 @@ from fieldmanual.llm.common import part_of
 # Fixed: kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_END = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-EMAIL_START = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # whole runs of digits: the same matches as without the bounds, in linear time
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -34,7 +34,8 @@ _DOT, _LABEL = r"\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?", "[A-Za-z0-9-]+"
 HIDDEN_AT = re.compile(rf"\x20?(?:\(at\)|\[at\])\x20?{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+|(?:\x20?\x20at\x20\x20?|@){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+", re.I)
 ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 WORDS = {"phone": ("phone", "tel", "call", "mobile", "fax", "cell"), "card": ("card", "visa", "master", "credit", "pay"), "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server")}
-MOST_DIGITS = 19  # of a card, the longest kind
+PART, DIGIT = re.compile(r"[^\x20]+"), re.compile("[0-9]")
+MOST_DIGITS, MOST_PARTS, MOST_GAP = 19, 8, 3  # of a proposal: digits of a card, the longest kind; parts with digits; parts without any between them
 
 
 def luhn(digits: str) -> bool:
@@ -80,34 +81,50 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _number_rows(text: str, low: int, high: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(start, end, digits, single) of rows of neighbouring parts: at most ``MOST_DIGITS`` digits in at most ``MOST_PARTS``
+    parts with digits, at most ``MOST_GAP`` parts without one between two of them.  Linear in the length of the text."""
+    parts, gap, before = [], 0, None
+    for w in PART.finditer(text, low, high):
+        n = len(DIGIT.findall(w.group()))
+        if n:
+            parts.append((w.start(), w.end(), n, gap, before))
+            gap, before = 0, None
+        else:
+            gap, before = gap + 1, w.start()
+    for i, (begin, _, _, _, mark) in enumerate(parts):
+        for start in (begin,) if mark is None else (mark, begin):
+            total = 0
+            for j in range(i, min(i + MOST_PARTS, len(parts))):
+                _, end, n, gap, _ = parts[j]
+                total += n
+                if total > MOST_DIGITS or (j > i and gap > MOST_GAP):
+                    break
+                if text[end - 1].isdigit():
+                    yield start, end, total, j == i and start == begin
+
+
 def proposals(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of everything that could be personal data, overlaps included."""
     out = []
     for m in NUMBERS.finditer(text):
-        parts = [(m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"[^\x20]+", m.group())]
-        for i, (begin, _) in enumerate(parts):
-            n = 0
-            for begin_of, end in parts[i:]:  # every row of neighbouring parts
-                n += len(_digits(text[begin_of:end]))
-                if n > MOST_DIGITS:
-                    break
-                run = text[begin:end]
-                if not run[-1].isdigit():
-                    continue
-                if IP.fullmatch(run) and _octets(run):
-                    out.append((1, begin, end))
-                    continue
-                if n >= 13 and run[0] not in "+(":
-                    out.append((2, begin, end))
-                if 9 <= n <= 15:
-                    out.append((3, begin, end))
+        for begin, end, n, single in _number_rows(text, m.start(), m.end()):
+            if single and IP.fullmatch(text, begin, end) and _octets(text[begin:end]):
+                out.append((1, begin, end))
+                continue
+            if n >= 13 and text[begin] not in "+(":
+                out.append((2, begin, end))
+            if 9 <= n <= 15:
+                out.append((3, begin, end))
     low = text.lower()
     low = ("(at)" in low or "[at]" in low or " at " in low or "@" in low) and ("(at)" in low or "[at]" in low or "(dot)" in low or "[dot]" in low or " dot " in low)
     if low:
         for m in HIDDEN_AT.finditer(text):
-            before = EMAIL_START.search(text[max(0, m.start() - 64):m.start()])
-            if before:
-                out.append((0, m.start() - len(before.group()), m.end()))
+            begin = m.start()
+            while begin > 0 and not NOT_LOCAL.match(text, begin - 1):
+                begin -= 1
+            if begin < m.start():
+                out.append((0, begin, m.end()))
     at = text.find("@")
     while at >= 0:
         begin = at
@@ -160,10 +177,11 @@ def features(text: str, kind: int, begin: int, end: int) -> list[float]:
 def examples(text: str) -> list[tuple[bool, list[float]]]:
     """What a text teaches: its base spans, and proposals that break their format, stand in a word or among numbers."""
     base = base_spans(text)
+    known = set(base)
     out = [(True, features(text, *c)) for c in base]
     for k, b, e in dict.fromkeys(proposals(text)):
         before, after, numeric = _around(text, b, e)
-        if (k, b, e) not in base and (not plausible(k, text[b:e]) or before[-1:].isalnum() or after[:1].isalnum() or numeric > 0.5):
+        if (k, b, e) not in known and (not plausible(k, text[b:e]) or before[-1:].isalnum() or after[:1].isalnum() or numeric > 0.5):
             out.append((False, features(text, k, b, e)))
     return out
 
@@ -265,18 +283,42 @@ def selected_spans(text: str, base: list[tuple[int, int, int]], model) -> list[t
     """Proposals beside base spans whose calibrated probability reaches the threshold, the best of overlapping ones."""
     if model is None:
         return []
-    free = [c for c in dict.fromkeys(proposals(text)) if plausible(c[0], text[c[1]:c[2]]) and not any(c[1] < e and b < c[2] for _, b, e in base)]
+    starts, ends = _merged(base)
+    free = [c for c in dict.fromkeys(proposals(text)) if not _meets(starts, ends, c) and plausible(c[0], text[c[1]:c[2]])]
     if not free:
         return []
     trees, (a, b, least) = model
     p = 1 / (1 + np.exp(-np.clip(a * tree_margins(trees, np.array([features(text, *c) for c in free])) + b, -30, 30)))
     out: list[tuple[int, int, int]] = []
+    starts, ends = [], []
     for i in np.lexsort((-np.array([c[2] - c[1] for c in free]), -np.round(p, 2))):
-        if p[i] >= least and not any(free[i][1] < e and s < free[i][2] for _, s, e in out):
+        if p[i] >= least and not _meets(starts, ends, free[i]):
+            at = bisect_left(starts, free[i][1])
+            starts.insert(at, free[i][1])
+            ends.insert(at, free[i][2])
             out.append(free[i])
     return out
 
 
+def _merged(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, b, e in sorted(spans, key=lambda c: c[1]):
+        if ends and b < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(b)
+            ends.append(e)
+    return starts, ends
+
+
+def _meets(starts: list[int], ends: list[int], span: tuple[int, int, int]) -> bool:
+    """Whether a span overlaps one of the disjoint, sorted ones."""
+    at = bisect_left(starts, span[2]) - 1
+    return at >= 0 and ends[at] > span[1]
+
+
 def _line(spans) -> str:
     return ",".join(f"{KINDS[k]}:{b}:{e}" for k, b, e in sorted(spans))
 
