@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from fieldmanual.llm.common import held_out, part_of, stored
 
-LETTERS = re.compile(r"[^\W\d_]+")
+# Runs of letters: word characters that are no digit and no other number form (², ½, ①, Ⅷ).
+NUMBER_FORMS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W\d_{NUMBER_FORMS}]+")
 UNKNOWN = "und"
 
 
@@ -77,10 +79,12 @@ def gram_counts(words: DataFrame, order: int) -> DataFrame:
     return words.mapInPandas(count, "lang string, gram string, count long").groupBy("lang", "gram").agg(F.sum("count").alias("count"))
 
 
-def _top(counts: DataFrame, item: str, most: int, least: int) -> pd.DataFrame:
-    """All (language, item, count) rows of the ``most`` most frequent items that occur ``least`` times or more."""
-    totals = counts.groupBy(item).agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
-    return totals.where(F.col("total") >= least).orderBy(F.desc("total"), item).limit(most).toPandas()
+def _top(counts: DataFrame, item: str, languages: Sequence[str], most: int, least: int) -> tuple[list[str], np.ndarray]:
+    """The ``most`` most frequent items that occur ``least`` times or more, and their counts by language, as Arrow columns."""
+    by = [F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)) for x in languages]
+    totals = counts.groupBy(item).agg(F.sum("count").alias("total"), F.array(*by).cast("array<long>").alias("by"))
+    found = totals.where(F.col("total") >= least).orderBy(F.desc("total"), item).limit(most).select(item, "by").toArrow()
+    return found[item].to_pylist(), found["by"].combine_chunks().flatten().to_numpy().reshape(found.num_rows, len(languages)).astype(float)
 
 
 def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", order: int = 4, most_words: int = 200_000, most_grams: int = 100_000,
@@ -93,19 +97,10 @@ def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", o
     grams = stored(gram_counts(words, order))
     sizes = words.groupBy("lang").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("kinds")).orderBy("lang").toPandas()
     languages = sizes["lang"].tolist()
-    at = {x: i for i, x in enumerate(languages)}
-
-    def table(found: pd.DataFrame, item: str):
-        counts = np.zeros((len(found), len(languages)))
-        for i, by in enumerate(found["by"]):
-            for x, c in by.items():
-                counts[i, at[x]] = c
-        return found[item].tolist(), counts
-
-    known, counts = table(_top(words, "word", most_words, least), "word")
+    known, counts = _top(words, "word", languages, most_words, least)
     total = sizes["n"].to_numpy(float) if languages else np.zeros(0)
     word_scores = np.log((counts + smooth) / (total + smooth * (len(known) + 1)))
-    pieces, gram = table(_top(grams, "gram", most_grams, least), "gram")
+    pieces, gram = _top(grams, "gram", languages, most_grams, least)
     gram_scores = np.zeros_like(gram)
     size = np.array([len(g) for g in pieces])
     for k in range(1, order + 1):
