@@ -31,25 +31,52 @@ WEAK = (
 WINDOW = 256
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """Array of (start, end) of a pattern's matches, in code points, end exclusive; matches must not be empty."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("size")))
-    done = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")), lambda acc, s: F.struct(
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once however often it is read."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _placed(steps: Column) -> Column:
+    """struct<at,spans> of (gap, size) steps: their total length and every span, counted from the first."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    return F.aggregate(steps, start, lambda acc, s: F.struct(
         (acc["at"] + s["gap"] + s["size"]).alias("at"),
         F.concat(acc["spans"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["size"]).alias("end")))).alias("spans")))
-    return done["spans"]
+
+
+def spans_of(text: Column, pattern: str) -> Column:
+    """Array of (start, end) of a pattern's matches, in code points, end exclusive; matches must not be empty.
+
+    Matches are placed in runs of about the root of their number, then the runs: a fold copies its array at every step, so
+    one fold over n matches would copy n * n spans.  A text without a match is read once, others twice.
+    """
+    def shifted(runs: Column) -> Column:
+        bases = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, r: F.struct(
+            (acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        moved = F.zip_with(runs, bases, lambda r, base: F.transform(r["spans"], lambda s: F.struct((s["start"] + base).alias("start"), (s["end"] + base).alias("end"))))
+        return F.flatten(moved)
+
+    def of_steps(steps: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(steps))).cast("int")
+        firsts = F.sequence(F.lit(1), F.size(steps), width)
+        return _let(F.transform(firsts, lambda i: _placed(F.slice(steps, i, width))), shifted)
+
+    def of_found(found: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("size")))
+        return F.when(F.size(found) > 0, _let(steps, of_steps)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of_found)
 
 
 def _found(text: Column, pattern: str, kind: str, rank: int, keep=None) -> Column:
-    """Array of (start, rank, end, kind); empty without running the pattern twice where nothing matches."""
+    """Array of (start, rank, end, kind)."""
     spans = spans_of(text, pattern)
     if keep is not None:
         part = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
         spans = F.filter(F.zip_with(spans, part, lambda s, p: F.when(F.length(p) >= keep, s)), lambda s: s.isNotNull())
     made = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-    return F.when(text.rlike(pattern), made).otherwise(F.array().cast(SPANS))
+    return made if keep is None else F.when(text.rlike(pattern), made).otherwise(F.array().cast(SPANS))
 
 
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
