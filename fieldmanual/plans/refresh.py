@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldmanual.functions.questions import annotate_alarm
 from fieldmanual.operators import cases as cs
 from fieldmanual.operators import sync
+from fieldmanual.operators.ordered import shared_path
 from fieldmanual.plans.faults import access_log
 from fieldmanual.plans.registry import Tables, query
 from fieldmanual.streaming import streams
@@ -138,6 +141,31 @@ def late_repairs(t: Tables):
     return streams.reconcile_occurrences(streamed, rows, ["user_id"]).select("user_id", "occ_start")
 
 
+@query("streamed_occurrences", """WITH a AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, event_id % 97 = 0 AND CAST(ts AS DATE) <= DATE '2024-01-10' AS late FROM events),
+g AS (SELECT *, lag(day) OVER (PARTITION BY user_id, event_type ORDER BY day) AS b FROM (SELECT DISTINCT user_id, event_type, day FROM a)),
+o AS (SELECT *, lag(day) OVER (PARTITION BY user_id, event_type ORDER BY day) AS b FROM (SELECT DISTINCT user_id, event_type, day FROM a WHERE NOT late)),
+n AS (SELECT *, sum(CASE WHEN b IS NULL OR day - b > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY day) AS no FROM o),
+s AS (SELECT user_id, event_type, min(day) AS day FROM n GROUP BY user_id, event_type, no HAVING (SELECT max(day) FROM o) - max(day) >= 5)
+SELECT g.user_id, g.event_type, g.day AS occ_start, s.day IS NOT NULL AS streamed FROM g LEFT JOIN s ON s.user_id = g.user_id AND s.event_type = g.event_type AND s.day = g.day WHERE g.b IS NULL OR g.day - g.b > 3""")
+def streamed_occurrences(t: Tables):
+    """Events arrive as files in three periods, each followed by one run of the stream, then late rows of the first period.
+
+    Sessions of days, closed after three days without a row (84 hours on whole days); what the watermark dropped or did
+    not close yet is repaired from all events.
+    """
+    keys, day = ["user_id", "event_type"], F.to_date("ts")
+    base = shared_path(t.spark, f"stream-{uuid.uuid4().hex}")
+    rows = t.events.select(*keys, F.date_trunc("day", "ts").cast("timestamp").alias("ts"), ((F.col("event_id") % 97 == 0) & (day <= F.lit("2024-01-10"))).alias("late"))
+    periods = (day <= F.lit("2024-01-10"), day.between("2024-01-11", "2024-01-20"), day > F.lit("2024-01-20"))
+    for part in (*[rows.filter(p & ~F.col("late")) for p in periods], rows.filter("late")):
+        part.drop("late").write.mode("append").parquet(f"{base}/in")
+        source = t.spark.readStream.schema(part.drop("late").schema).parquet(f"{base}/in")
+        streams.write_batches(streams.stream_occurrences(source, "84 hours", keys=keys), f"{base}/out", f"{base}/state").awaitTermination()
+    streamed = t.spark.read.parquet(f"{base}/out").select(*keys, "occ_start")
+    repairs = streams.reconcile_occurrences(streamed, rows.select(*keys, day.alias("day")), keys)
+    return streams.settle_occurrences(streamed, repairs, keys)
+
+
 @query("annotated_alarms", """SELECT o_orderkey, 'STG - E Detail: 607304' || upper(lpad(printf('%x', o_orderkey % 256), 2, '0')) || ' FFF0FE17 (STG-' || upper(lpad(printf('%x', o_orderkey % 256), 2, '0')) || '-17)' AS text FROM orders""")
 def annotated_alarms(t: Tables):
     raw = F.concat(F.lit("STG - E Detail: 607304"), F.lpad(F.hex(F.col("o_orderkey") % 256), 2, "0"), F.lit(" FFF0FE17"))

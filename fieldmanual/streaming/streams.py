@@ -122,3 +122,13 @@ def reconcile_occurrences(streamed: DataFrame, events: DataFrame, keys: Sequence
     b = streamed.select(*keys, "occ_start").distinct().withColumn("in_stream", F.lit(True))
     j = a.join(b, [*keys, "occ_start"], "full_outer").fillna(False, ["in_batch", "in_stream"])
     return j.filter("in_batch <> in_stream")
+
+
+def settle_occurrences(streamed: DataFrame, repairs: DataFrame, keys: Sequence[str] = ("entry_key", "site")) -> DataFrame:
+    """Starts after the repairs of :func:`reconcile_occurrences`: (keys, occ_start, streamed), ``streamed`` where the stream had them.
+
+    Starts that late rows moved or joined away go, starts the stream did not close or never saw come in.
+    """
+    on = [*keys, "occ_start"]
+    kept = streamed.select(*on).distinct().join(repairs.filter("in_stream").select(*on), on, "left_anti").withColumn("streamed", F.lit(True))
+    return kept.unionByName(repairs.filter("in_batch").select(*on, F.lit(False).alias("streamed")))

@@ -77,3 +77,12 @@ def test_throttle_keeps_negative_ids(spark):
     last = spark.createDataFrame([("k", -200)], "uid string, s int").selectExpr("uid", "timestamp_seconds(s) as ts")
     kept = streams.throttle_events(events, ["uid"], 60, last_kept=last)
     assert sorted(r.id for r in kept.collect()) == [-5, -2, 7]
+
+
+def test_settled_occurrences(spark):
+    rows = [("e1", 1), ("e1", 4), ("e2", 2), ("e2", 9), ("e3", 5)]
+    days = spark.createDataFrame([(k, dt.date(2024, 1, d)) for k, d in rows], "entry_key string, day date")
+    # The stream saw e1 only from the 4th, closed e2's first session, never closed e2's second, and missed e3.
+    seen = spark.createDataFrame([("e1", dt.date(2024, 1, 4)), ("e2", dt.date(2024, 1, 2))], "entry_key string, occ_start date")
+    done = streams.settle_occurrences(seen, streams.reconcile_occurrences(seen, days, ["entry_key"]), ["entry_key"])
+    assert {(r.entry_key, r.occ_start.day, r.streamed) for r in done.collect()} == {("e1", 1, False), ("e2", 2, True), ("e2", 9, False), ("e3", 5, False)}
