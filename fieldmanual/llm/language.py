@@ -20,11 +20,22 @@ from pyspark.sql import functions as F
 from fieldmanual.llm.common import held_out, part_of, stored
 
 # Runs of letters: word characters that are no digit and no other number form (², ½, ①, Ⅷ).
+LETTERS = re.compile(r"[^\W\d_]+")
 NUMBER_FORMS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W\d_{NUMBER_FORMS}]+")
+BLANKED = str.maketrans(NUMBER_FORMS, " " * len(NUMBER_FORMS))
+# A set of the first plane is one bitmap; with the many ranges beyond it, every character would be held against each of them.
+MAY_HOLD_NUMBERS = re.compile("[" + "".join(c for c in NUMBER_FORMS if c < "\U00010000") + "\U00010000-\U0010FFFF]")
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, lower case."""
+    text = text.lower()
+    if not text.isascii() and MAY_HOLD_NUMBERS.search(text):
+        text = text.translate(BLANKED)
+    return LETTERS.findall(text)
+
+
 @dataclass
 class LanguageModel:
     """Log probabilities per language: one row of ``word_scores`` per known word, of ``gram_scores`` per known n-gram."""
@@ -53,7 +64,7 @@ def word_counts(labelled: DataFrame, text: str = "text", lang: str = "lang", mos
         for batch in batches:
             for language, t in zip(batch["lang"], batch["text"]):
                 if t:
-                    held.setdefault(language, Counter()).update(LETTERS.findall(t.lower()))
+                    held.setdefault(language, Counter()).update(words_of(t))
             if sum(map(len, held.values())) > most_held:
                 yield from out()
         yield from out()
@@ -133,7 +144,7 @@ class LanguageScorer:
         return np.diff(sums[ends], axis=0) / np.maximum(1, np.diff(ends))[:, None]
 
     def __call__(self, texts) -> list[tuple[str, float]]:
-        split = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        split = [words_of(t) if t else [] for t in texts]
         if not self.model.languages:
             return [(UNKNOWN, 0.0)] * len(split)
         fresh = {w: len(self.known) + i for i, w in enumerate(set().union(*split).difference(self.known))}

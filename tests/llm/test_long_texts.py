@@ -49,3 +49,13 @@ def test_secret_spans_of_many_matches(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     got = {r.i: [tuple(s) for s in r.s] for r in docs.select("i", secrets.spans_of(F.col("text"), secrets.HEX).alias("s")).collect()}
     assert got == {i: [m.span() for m in re.finditer(secrets.HEX, t)] for i, t in enumerate(texts)}
+
+
+def test_letter_runs_are_fast():
+    text = "Größe über Straße, ключ и замок " * 20_000
+    began = time.process_time()
+    plain = re.findall(r"[^\W\d_]+", text.lower())
+    middle = time.process_time()
+    assert language.words_of(text) == plain
+    assert time.process_time() - middle < 5 * (middle - began) + 0.1
+    assert language.words_of("Ab²c ½ Ⅷ x٣y \U0001F101z") == ["ab", "c", "x", "y", "z"]
