@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldmanual.functions import equipment as eq
 from fieldmanual.operators import access, lexical, tagging
+from fieldmanual.operators.ordered import cut_lineage
 from fieldmanual.plans.registry import Tables, query
 from fieldmanual.plans.search import P, Q, asked, like_sql, passages
 
@@ -137,13 +138,18 @@ SELECT uid, count_if(b.filename IS NULL) AS extra, count_if(a.filename IS NULL)
 FROM bf b FULL JOIN af a USING (uid, filename) GROUP BY uid""")
 def visibility_changes(t: Tables):
     live = scopes(t).filter(F.col("valid_until") > F.lit(NOW).cast("timestamp_ntz")).groupBy("uid").agg(F.collect_set("scope").alias("s"))
-    g = live.select("uid", access.parse_grants("s").alias("g"))
+    # Users of equal grants reach equal files, so files are compared once per combination of grants; a null user's match nothing.
+    every = live.select(F.col("uid").alias("__uid"), access.parse_grants("s").alias("g")).select("__uid", "g", F.when(F.col("__uid").isNotNull(), F.to_json(F.struct(
+        "g.categories", (F.size("g.customers") > 0).alias("any")))).alias("uid"))
+    every = cut_lineage(every)
+    g = every.groupBy("uid").agg(F.any_value("g").alias("g"))
     reach = g.select("uid", F.explode("g.categories").alias("category"))
     names = acl(t).select("category", "filename", "review_status").distinct()
     before = reach.join(names, "category").select("uid", "filename")
     after = reach.join(names.filter("review_status = 'approved'"), "category").select("uid", "filename").unionByName(
         g.filter(F.size("g.customers") > 0).select("uid", F.lit("guide").alias("filename")))
-    return access.compare_visibility(before, after)
+    found = access.compare_visibility(before, after).withColumnRenamed("uid", "__class")
+    return every.join(found, F.col("uid").eqNullSafe(F.col("__class"))).select(F.col("__uid").alias("uid"), "extra", "missing", "same")
 
 
 @query("migrated_grants", f"""WITH {SCOPES}, g AS (SELECT uid, CASE WHEN scope LIKE 'customer:%' THEN 'cust:' || substr(scope, 10) ELSE scope END AS scope, valid_until FROM sc
