@@ -28,7 +28,8 @@ def haystack(cols: Sequence[str]):
 def build_trigram_index(passages: DataFrame, seq: str = "seq", cols: Sequence[str] = ("text",)) -> DataFrame:
     """Postings (gram, seq, tf) of the case-folded three-character substrings."""
     grams = tx.ngrams(haystack(cols), 3)
-    return (passages.select(seq, F.explode(grams).alias("gram"))
+    # Texts are dealt by passage before they are cut, so that no gram is shuffled for its count.
+    return (passages.select(*dict.fromkeys([seq, *cols])).repartition(seq).select(seq, F.explode(grams).alias("gram"))
             .groupBy("gram", seq).agg(F.count("*").alias("tf")))
 
 
