@@ -5,7 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import time
 
-from fieldmanual.operators import access, glossary
+import numpy as np
+from pyspark.sql import functions as F
+
+from fieldmanual.operators import access, glossary, lexical, vectors
 from fieldmanual.plans import secure
 from fieldmanual.plans.registry import Tables
 
@@ -36,3 +39,37 @@ def test_files_are_compared_once_per_grants(spark, tmp_path, monkeypatch):
     assert sorted(r.uid for r in out if r.uid is not None) == list(range(50)) and len(out) == 51
     assert len({(r.extra, r.missing, r.same) for r in out if r.uid is not None}) == 1
     assert sizes[0] <= 2 * 60
+
+
+def exchanges_above_generate(df):
+    """Shuffles of the plan that move the rows of a generator as they are, before any count."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0]
+    return plan.count("Exchange")
+
+
+def test_words_and_grams_are_counted_where_they_are_cut(spark):
+    rows = spark.createDataFrame([(1, "Abc abc"), (1, "abc"), (2, None), (None, "x abcd")], "seq long, text string")
+    assert exchanges_above_generate(lexical.build_trigram_index(rows)) == 0
+    assert exchanges_above_generate(vectors.word_counts(rows, "seq")) == 0
+    assert {tuple(r) for r in vectors.word_counts(rows, "seq").collect()} == {(1, "abc", 3), (None, "x", 1), (None, "abcd", 1)}
+    assert ("abc", 1, 3) in {tuple(r) for r in lexical.build_trigram_index(rows).collect()}
+
+
+def test_approximate_search_in_blocks(spark):
+    draw = np.random.default_rng(3)
+    corpus = spark.createDataFrame([(i, draw.normal(size=16).tolist()) for i in range(2000)] + [(3000, None)], "vec_id long, embedding array<double>")
+    asked = corpus.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding").where("embedding is not null")
+    whole = corpus.where("embedding is not null")
+    exact = vectors.vector_topk(asked, whole, 8, threshold=-1.0)
+    for block in (300, 65_536):
+        found = vectors.vector_topk_approx(asked, whole, 8, keep=166, block=block)
+        per = vectors.topk_recall(found, exact).agg(F.sum("n_found") / F.sum("n_exact")).first()[0]
+        assert per >= 0.9 and found.groupBy("query_id").count().where("count <> 8").isEmpty()
+
+
+def test_best_places():
+    draw = np.random.default_rng(4)
+    for n in (1, 5, 40):
+        for k in (1, 4, 40):
+            scores = draw.integers(0, 6, n).astype(float)
+            assert vectors._best(scores, k).tolist() == np.argsort(-scores, kind="stable")[:k].tolist()
