@@ -98,7 +98,7 @@ def test_throttle(spark, times, fails, want):
     t0 = dt.datetime(2024, 1, 1, 23, 59)
     rows = [(i, "u", t0 + dt.timedelta(seconds=s), s not in fails) for i, s in enumerate(sorted(times + fails))]
     df = spark.createDataFrame(rows, "id long, uid string, ts timestamp, ok boolean")
-    kept = streams.throttle_events(df, ["uid"], block_us=45_000_000)
+    kept = streams.throttle_events(df, ["uid"], width=4)
     assert [int((r.ts - t0).total_seconds()) for r in kept.orderBy("id").collect()] == want
     assert streams.throttle_events(kept, ["uid"]).count() == len(want)
 

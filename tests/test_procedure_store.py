@@ -43,7 +43,7 @@ def test_update_equals_full_build(spark):
     fresh = asked[before:]
     assert len(fresh) == 2 and set(fresh).isdisjoint(asked[:before])  # the second of b and c; new has the text of a vanished one
     full.update(second, *routes(), embed, meta)
-    rows = lambda s: sorted(map(str, s.procedures().drop("built").collect())), sorted(map(str, s.steps().drop("built").collect()))
+    rows = lambda s: (sorted(map(str, s.procedures().drop("built").collect())), sorted(map(str, s.steps().drop("built").collect())))
     assert rows(store) == rows(full)
     built = {r.doc_id: r.built for r in store.procedures().collect()}
     assert built == {"a": 1, "b": 2, "c": 2, "new": 2}
