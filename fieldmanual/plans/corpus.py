@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldmanual.functions import text as tx
 from fieldmanual.operators import ordered as od
 from fieldmanual.operators import prepare
-from fieldmanual.plans.registry import Tables, query
+from fieldmanual.plans.registry import Tables, query, spread
 from fieldmanual.sources import readers, sinks
 
 
@@ -305,8 +305,8 @@ SELECT p_partkey, printf('%02X', p_size) AS main, '01' AS detail, 'code file' AS
 UNION ALL SELECT p_partkey, printf('%02X', p_size), '7F', 'code file', p_name, NULL FROM part
 UNION ALL SELECT p_partkey, 'ZZ', '01', 'not found', NULL, NULL FROM part""")
 def code_definitions(t: Tables):
-    files = t.part.select("p_partkey", F.concat(F.lit("U"), s("p_partkey")).alias("unit"), code_file().alias("text"))
-    sections = readers.parse_sectioned_codes(files, ["unit"], controller=F.lit("STG"))
+    files = spread(t.part, "p_partkey").select("p_partkey", F.concat(F.lit("U"), s("p_partkey")).alias("unit"), code_file().alias("text"))
+    sections = od.cut_lineage(readers.parse_sectioned_codes(files, ["unit"], controller=F.lit("STG")))
     details = readers.code_details(sections, ["unit"])
     main = F.lpad(F.hex("p_size"), 2, "0")
     asked = t.part.select("p_partkey", F.concat(F.lit("U"), s("p_partkey")).alias("unit"), F.explode(F.array(

@@ -158,15 +158,22 @@ def code_details(sections: DataFrame, keep: Sequence[str]) -> DataFrame:
             .select(*keep, "main", F.col("x.d").alias("detail"), "title", F.col("x.t").alias("text")))
 
 
+# Fixed value: tasks that share the rows of a lookup.
+TASKS = 240
+
+
 def lookup_code_definition(asked: DataFrame, sections: DataFrame, details: DataFrame, tables: DataFrame | None = None,
                            key: str = "query_id", unit: str = "unit") -> DataFrame:
     """(key, unit, main, detail, source, title, text): definitions of the asked codes, or ``not found``.
 
     ``sections`` and ``details`` come from code files; ``tables`` (unit, main, detail, title, text) from
-    table chapters, where a detail matches the end of the asked digits.
+    table chapters, where a detail matches the end of the asked digits.  Code files grow many times over when they are
+    cut, which the planner does not see, so no side is broadcast: all are sorted by unit and code, in small tasks.
     """
-    titles = sections.select(unit, F.col("code").alias("main"), "title")
-    one = (asked.join(titles, [unit, "main"]).join(details.select(unit, "main", "detail", "text"), [unit, "main", "detail"], "left")
+    asked = asked.repartition(TASKS, unit, "main")
+    titles = sections.select(unit, F.col("code").alias("main"), "title").hint("merge")
+    texts = details.select(unit, "main", "detail", "text").hint("merge")
+    one = (asked.join(titles, [unit, "main"]).join(texts, [unit, "main", "detail"], "left")
            .select(key, unit, "main", "detail", F.lit("code file").alias("source"), "title", "text"))
     both = one
     if tables is not None:
@@ -176,7 +183,7 @@ def lookup_code_definition(asked: DataFrame, sections: DataFrame, details: DataF
         both = one.unionByName(two)
     found = both.select(key, unit, "main", "detail").distinct().withColumn("__f", F.lit(True))
     cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (key, unit, "main", "detail")]
-    none = (asked.alias("a").join(found.alias("f"), cond, "left_anti").select(
+    none = (asked.alias("a").join(found.hint("merge").alias("f"), cond, "left_anti").select(
         key, unit, "main", "detail", F.lit("not found").alias("source"), F.lit(None).cast("string").alias("title"),
         F.lit(None).cast("string").alias("text")))
     return both.unionByName(none)

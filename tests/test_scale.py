@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fieldmanual.operators import access, glossary, lexical, vectors
 from fieldmanual.plans import secure
 from fieldmanual.plans.registry import Tables
+from fieldmanual.sources import readers
 
 
 def test_parentheses_are_linear(spark):
@@ -73,3 +74,15 @@ def test_best_places():
         for k in (1, 4, 40):
             scores = draw.integers(0, 6, n).astype(float)
             assert vectors._best(scores, k).tolist() == np.argsort(-scores, kind="stable")[:k].tolist()
+
+
+def test_code_files_are_not_broadcast(spark):
+    """Cut code files are many times larger than the planner thinks, so a lookup sends none of them whole to a task."""
+    files = spark.createDataFrame([("U1", "#0A H\n  first\n  01H: one\n     more\n#0B H\n  other\n"), (None, "#0A H\n  lost\n")], "unit string, text string")
+    sections = readers.parse_sectioned_codes(files, ["unit"])
+    asked = spark.createDataFrame([(1, "U1", "0A", "01"), (2, "U1", "0B", "01"), (3, None, "0A", "01"), (4, "U1", "ZZ", None), (4, "U1", "ZZ", None)],
+                                  "query_id long, unit string, main string, detail string")
+    out = readers.lookup_code_definition(asked, sections, readers.code_details(sections, ["unit"]))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.query_id, r.source, r.title, r.text) for r in out.collect())
+    assert got == [(1, "code file", "first", "01H: one\nmore"), (2, "code file", "other", None), *[(n, "not found", None, None) for n in (3, 4, 4)]]
