@@ -27,6 +27,7 @@ FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdef
 BREAK, SKIP = 0, 1  # values that no word's hash takes
 SCREEN_BITS = 1 << 26
 MANY = 4_000_000  # bytes of text, and counted keys, that a task holds at once
+HELD = 5_000_000  # numbers in the counted runs or windows that a task adds up before it sends them on
 
 
 def _tokens(texts: list[bytes]) -> list[bytes]:
@@ -149,14 +150,42 @@ def _live_runs(h: np.ndarray, screens: list[Screen], longest: int) -> Iterator[t
         yield at, key
 
 
+def _summed(columns: np.ndarray) -> np.ndarray:
+    """Equal columns of ``columns`` as one, their last row (counts) added up."""
+    columns = columns[:, np.lexsort(columns[-2::-1])]
+    new = np.ones(columns.shape[1], bool)
+    new[1:] = (columns[:-1, 1:] != columns[:-1, :-1]).any(axis=0)
+    first = np.flatnonzero(new)
+    return np.vstack([columns[:-1, first], np.add.reduceat(columns[-1], first)[None]]) if len(first) else columns
+
+
+def _gathered(parts: Iterator[np.ndarray], most: int) -> Iterator[np.ndarray]:
+    """The counts of ``parts``, added up over a task; what is held is sent on when it stays at half of ``most`` numbers or more."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part.size
+        if size >= most:
+            held = [_summed(np.hstack(held))]
+            size = held[0].size
+            if size >= most // 2:
+                yield held[0]
+                held, size = [], 0
+    if size:
+        yield _summed(np.hstack(held)) if len(held) > 1 else held[0]
+
+
 def count_runs(texts: DataFrame, screens: list[Screen]) -> DataFrame:
     """(run, n): occurrences of runs of words, one word longer than there are screens, by a hash of the run."""
     sent = texts.sparkSession.sparkContext.broadcast(screens)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h in _positions(batches):
-            *_, (_, key) = _live_runs(h, sent.value, len(sent.value) + 1)
-            runs, n = np.unique(key, return_counts=True)
+        def counted() -> Iterator[np.ndarray]:
+            for h in _positions(batches):
+                *_, (_, key) = _live_runs(h, sent.value, len(sent.value) + 1)
+                yield np.stack(np.unique(key, return_counts=True))
+
+        for runs, n in _gathered(counted(), HELD):
             yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(n)], ["run", "n"])
 
     return texts.mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
@@ -167,19 +196,19 @@ def lead_windows(texts: DataFrame, screens: list[Screen], order: int = 4) -> Dat
     sent, names = texts.sparkSession.sparkContext.broadcast(screens), [f"w{i}" for i in range(1, order + 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h in _positions(batches):
-            columns = np.zeros((order, len(h)), np.int64)
-            for lead, (at, _) in enumerate(_live_runs(h, sent.value, order)):
-                columns[lead, at] = h[at + lead]
-            alone, n_alone = np.unique(columns[0, (columns[0] != BREAK) & (columns[1] == BREAK)], return_counts=True)
-            many = columns[:, columns[1] != BREAK]
-            many = many[:, np.lexsort(many[::-1])]
-            new = np.ones(many.shape[1], bool)
-            new[1:] = (many[:, 1:] != many[:, :-1]).any(axis=0)
-            first = np.flatnonzero(new)
-            n_many = np.diff(np.append(first, many.shape[1]))
-            rows = [np.concatenate([many[i, first], alone if i == 0 else np.zeros(len(alone), np.int64)]) for i in range(order)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.concatenate([n_many, n_alone]).astype(np.int64))], [*names, "n"])
+        def counted() -> Iterator[np.ndarray]:
+            for h in _positions(batches):
+                columns = np.zeros((order + 1, len(h)), np.int64)
+                columns[order] = 1
+                for lead, (at, _) in enumerate(_live_runs(h, sent.value, order)):
+                    columns[lead, at] = h[at + lead]
+                alone, n_alone = np.unique(columns[0, (columns[0] != BREAK) & (columns[1] == BREAK)], return_counts=True)
+                single = np.zeros((order + 1, len(alone)), np.int64)
+                single[0], single[order] = alone, n_alone
+                yield np.hstack([_summed(columns[:, columns[1] != BREAK]), single])
+
+        for rows in _gathered(counted(), HELD):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows)], [*names, "n"])
 
     return texts.mapInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
 

@@ -64,6 +64,22 @@ def test_collocations(mixed, least, order, top, bits, monkeypatch):
     assert sorted(tuple(r) for r in out) == brute_phrases(rows, least, order, top, 80)
 
 
+@pytest.mark.parametrize("held", [40, 5_000_000])
+def test_windows_are_summed_over_a_task(spark, held, monkeypatch):
+    """However small the runs that a task reads, it sends an equal window once, unless it holds too many."""
+    monkeypatch.setattr(collocations, "MANY", 20)
+    monkeypatch.setattr(collocations, "HELD", held)
+    texts = spark.createDataFrame([("en", "a b c d, e f, g")] * 50 + [("fr", "a b")] * 3, "lang string, text string").coalesce(1)
+    every = collocations.Screen(np.full(1 << 4, ~np.uint64(0)), 1 << 10)
+    runs, windows = collocations.count_runs(texts, [every]).collect(), collocations.lead_windows(texts, [every] * 3).collect()
+    assert sorted(r.n for r in runs) == [3, 50, 50, 50, 50]
+    sums = {}
+    for *words, n in windows:
+        sums[tuple(words)] = sums.get(tuple(words), 0) + n
+    assert sorted(sums.values()) == [3, 3, *[50] * 7]
+    assert held == 40 or len(windows) == len(sums)
+
+
 def test_collocations_count_beyond_long(spark):
     phrases = spark.createDataFrame([([1, 2], 2, 9 * 10 ** 17), ([1], 1, 9 * 10 ** 17), ([2], 1, 9 * 10 ** 17 + 1)], "phrase array<long>, size int, f long")
     assert collocations.weakest_cuts(phrases, 2_000_000).first().score == 2_000_000 * 9 * 10 ** 17 // (18 * 10 ** 17 + 1)
