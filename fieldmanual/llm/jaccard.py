@@ -6,7 +6,8 @@ single shingles, taken in one global order: a set lies nearest to the pivots it
 of it must hold one of the first ``n - ceil(t n) + 1`` of them as well.  That window is what a document is copied
 into.  Regions are joined at once where they are small.  A large region is joined around document pivots: members
 at most the radius away join the pivot's class, a region whose members are all in one class is done, and what is
-left is joined again around further pivots, with more of them each time, until nothing is left.
+left is joined again around further pivots, with more of them each time, until nothing is left.  A pair meets only in
+the first large region that both stand in, and only if what lies behind that pivot in both sets can reach the threshold.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from fieldmanual.llm.common import batches_of, part_of, sent_whole, stored
 SMALL_REGION = 32
 SLICES = 64
 BATCH = 1024  # texts and sketches sent to a Python function at once
+LEAD = 16  # large regions of a set, first ones first, by which a pair of sets is told to have met already
+ORDERS = [np.uint64(m) for m in (1, 0xD1342543DE82EF95, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]  # random orders of the shingles
 SKETCH, FINE = 256, 2048  # cells of a sketch; the finer one for sets of more than FINE / 3 shingles
 
 
@@ -171,7 +174,7 @@ def frequent_shingles(texts: DataFrame, width: int, sample_rows: int) -> np.ndar
 def shingle_windows(texts: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """``doc_id``, ``text_hash``, ``node`` (name of the set), ``n_shingles``, ``pivots`` (the window), ``common`` (how many of them are frequent), ``sketch``, ``keys``.
 
-    ``keys`` are minima of two random orders; sets with an equal one are likely alike.  The last four are null for a set that the task has seen before.
+    ``keys`` are minima of the random orders ``ORDERS``; sets with an equal one are likely alike.  The last four are null for a set that the task has seen before.
     """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +188,7 @@ def shingle_windows(texts: DataFrame, width: int, percent: int, frequent: np.nda
                 if n and node not in seen:
                     seen.add(node)
                     sketch, size, many = _sketch(s), _window(n, percent), 0
-                    key = np.array([s[0], (s * np.uint64(0xD1342543DE82EF95)).min()], np.uint64).view(np.int64)
+                    key = np.array([(s * odd).min() for odd in ORDERS], np.uint64).view(np.int64)
                     if len(frequent):
                         often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                         rare = s[~often]
@@ -208,13 +211,17 @@ def shingle_windows(texts: DataFrame, width: int, percent: int, frequent: np.nda
 
 
 def likely_pairs(windows: DataFrame) -> DataFrame:
-    """Pairs of every set with the least set that shares a key of it: one or two per set, for a first guess at classes."""
-    keyed = windows.where(F.col("keys").isNotNull()).select("node", F.posexplode("keys").alias("i", "key")).distinct()
-    first = keyed.groupBy("i", "key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
-    return keyed.join(first, ["i", "key"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    """Pairs of neighbours among the sets that share a key, in the order of their other keys: at most one per set and key, for a first guess at classes.
+
+    Sets that drift away from each other step by step are linked along the way, where a common partner would be too far from most.
+    """
+    keyed = windows.where(F.col("keys").isNotNull()).select("node", "keys").dropDuplicates(["node"]).select("node", "keys", F.posexplode("keys").alias("i", "key"))
+    others = [F.get("keys", (F.col("i") + k) % len(ORDERS)) for k in range(1, len(ORDERS))]
+    behind = keyed.withColumn("last", F.lag("node").over(W.partitionBy("i", "key").orderBy(*others, "node"))).where("last is not null")
+    return behind.select(F.least("node", "last").alias("a"), F.greatest("node", "last").alias("b")).distinct()
 
 
-ROW = np.dtype([("h", "<i8"), ("node", "<i8"), ("class", "<i8"), ("n", "<i4")])
+ROW = np.dtype([("h", "<i8"), ("node", "<i8"), ("class", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
 def _block(rows: np.ndarray) -> bytes:
@@ -235,7 +242,7 @@ def region_pairs(windows: DataFrame, labels: DataFrame, percent: int, bucket_row
 
     ``labels`` are the classes known so far: pairs inside a class and regions of one class are settled and left out.
     Pivots are told apart by the upper 48 bits of their hashes; two that agree there make one region, which only adds
-    candidates.  Rows of rare pivots travel in packed blocks, one per bucket of the hash space; there is a bucket for every
+    candidates.  ``at`` is the place of the pivot in a member's window.  Rows of rare pivots travel in packed blocks, one per bucket of the hash space; there is a bucket for every
     ``bucket_rows`` documents.  Regions of frequent pivots are large by presumption and never packed.
     """
     copied = windows.where(F.col("pivots").isNotNull()).select("node", F.col("n_shingles").cast("int").alias("n"), "pivots", "common").join(
@@ -251,7 +258,7 @@ def region_pairs(windows: DataFrame, labels: DataFrame, percent: int, bucket_row
                 packed["h"] = np.concatenate(rows["pivots"].tolist())
                 for name in ("node", "class", "n"):
                     packed[name] = np.repeat(rows[name].to_numpy(), lengths)
-                behind = np.arange(len(packed)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                behind = packed["at"] = np.arange(len(packed)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 often = behind >= np.repeat(lengths - rows["common"].to_numpy(), lengths)
                 bucket = ((packed["h"].view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
                 bucket[often] = -1
@@ -265,19 +272,19 @@ def region_pairs(windows: DataFrame, labels: DataFrame, percent: int, bucket_row
                 yield pd.DataFrame({"bucket": np.where(names < 0, -1 - np.arange(len(names)) - low, names), "block": block})
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(a, an, b=None, bn=None, h=None):
+        def frame(a, an, b=None, bn=None, h=None, at=None):
             nothing = pd.array([None] * len(a), dtype="Int64")
-            return pd.DataFrame({"a": a, "an": an, "b": nothing if b is None else b, "bn": nothing if b is None else bn, "h": nothing if h is None else h})
+            return pd.DataFrame({"a": a, "an": an} | {k: nothing if v is None else v for k, v in (("b", b), ("bn", bn), ("h", h), ("at", at))})
 
         def close(blocks):
             rows = np.concatenate([_rows(b) for b in blocks])
             rows = rows[np.argsort(rows["h"], kind="stable")]
             same = rows["h"][1:] == rows["h"][:-1]
             rows = rows[np.append(False, same) | np.append(same, False)]
-            rows = rows[np.lexsort((rows["node"], rows["h"]))]
-            h, node, n, known = (np.ascontiguousarray(rows[c]) for c in ("h", "node", "n", "class"))
+            rows = rows[np.lexsort((rows["at"], rows["node"], rows["h"]))]
+            h, node, n, known, place = (np.ascontiguousarray(rows[c]) for c in ("h", "node", "n", "class", "at"))
             fresh = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))[:len(h)]
-            h, node, n, known = h[fresh], node[fresh], n[fresh].astype(np.int64), known[fresh]
+            h, node, n, known, place = h[fresh], node[fresh], n[fresh].astype(np.int64), known[fresh], place[fresh]
             if not len(h):
                 return
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])[:len(h)])
@@ -286,7 +293,7 @@ def region_pairs(windows: DataFrame, labels: DataFrame, percent: int, bucket_row
             of_row = np.repeat(sizes, sizes)
             big = (of_row > SMALL_REGION) & mixed
             if big.any():
-                yield frame(node[big], n[big], h=h[big])
+                yield frame(node[big], n[big], h=h[big], at=place[big])
             few = (of_row <= SMALL_REGION) & mixed
             h, node, n, known = h[few], node[few], n[few], known[few]
             for step in range(1, min(SMALL_REGION, len(h))):
@@ -302,7 +309,7 @@ def region_pairs(windows: DataFrame, labels: DataFrame, percent: int, bucket_row
             for bucket, block in zip(batch["bucket"].tolist(), batch["block"]):
                 if bucket < 0:
                     rows = _rows(block)
-                    yield frame(rows["node"], rows["n"], h=rows["h"])
+                    yield frame(rows["node"], rows["n"], h=rows["h"], at=rows["at"])
                     continue
                 if bucket != at and blocks:
                     yield from close(blocks)
@@ -313,7 +320,7 @@ def region_pairs(windows: DataFrame, labels: DataFrame, percent: int, bucket_row
             yield from close(blocks)
 
     packed = copied.mapInPandas(pack, "bucket long, block binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(join, "a long, an long, b long, bn long, h long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(join, "a long, an long, b long, bn long, h long, at long")
 
 
 def promising_pairs(regions: DataFrame, percent: int) -> DataFrame:
@@ -413,28 +420,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def large_members(regions: DataFrame) -> DataFrame:
+    """``h``, ``node``, ``n``, ``at`` of the members of large regions, and ``before``: which large regions, of the first ``LEAD`` of the set, lie before this one."""
+    members = regions.where("b is null").groupBy("h", F.col("a").alias("node"), F.col("an").alias("n")).agg(F.min("at").alias("at"))
+    of_set = W.partitionBy("node").orderBy("at", "h")
+    members = members.withColumn("place", F.row_number().over(of_set)).withColumn(
+        "lead", F.collect_list(F.when(F.col("place") <= LEAD, F.col("h"))).over(of_set.rowsBetween(W.unboundedPreceding, -1)))
+    return members.select("h", "node", "n", "at", F.col("lead").alias("before"))
+
+
 def close_large_regions(members: DataFrame, links: DataFrame, held: DataFrame, places: DataFrame, width: int, percent: int) -> DataFrame:
     """All links needed to tell the classes of the members of large regions apart, added to ``links``.
 
-    Every round checks a region's next pivots against all members of other classes and retires them; pivots come
-    from the smallest classes first.  A region ends with one class or without members.
+    Every round checks a region's next pivots against all members of other classes and retires them.  The first pivots
+    are the members with the fewest rare shingles, which most others are near to, then those of the smallest classes.  A
+    region ends with one class or without members.  A pair is checked in the first large region of both, where common
+    shingles lie at or behind the pivot in either set; a pair that shares earlier pivots of small regions was checked there.
     """
     pivots = 1
     while not members.isEmpty():
         labels = components(links).select(F.col("node").alias("__n"), "component")
-        labelled = members.join(labels, F.col("node") == F.col("__n"), "left").select("h", "node", "n", F.coalesce("component", "node").alias("class"))
+        labelled = members.join(labels, F.col("node") == F.col("__n"), "left").select("h", "node", "n", "at", "before", F.coalesce("component", "node").alias("class"))
         mixed = labelled.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("h")
         alive = labelled.join(mixed, "h")
         size = alive.groupBy("h", "class").agg(F.count(F.lit(1)).alias("size"))
         alive = stored(alive.join(size, ["h", "class"]))
         if alive.isEmpty():
             break
-        ranked = alive.withColumn("rank", F.row_number().over(W.partitionBy("h").orderBy("size", "node"))).where(F.col("rank") <= pivots)
-        chosen = ranked.select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("class").alias("of"))
+        order = ("at", "node") if pivots == 1 else ("size", "node")
+        ranked = alive.withColumn("rank", F.row_number().over(W.partitionBy("h").orderBy(*order))).where(F.col("rank") <= pivots)
+        chosen = ranked.select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("at").alias("a_at"), F.col("before").alias("a_before"), F.col("class").alias("of"))
         fits = (F.least("n", "an") * 100 >= F.greatest("n", "an") * percent) & (F.col("of") != F.col("class"))
+        fits &= F.least(F.col("n") - F.col("at"), F.col("an") - F.col("a_at")) * (100 + percent) >= (F.col("n") + F.col("an")) * percent
+        fits &= ~F.arrays_overlap("before", "a_before")
         asked = chosen.join(alive, "h").where(fits).select("a", F.col("node").alias("b"))
         links = stored(links.unionByName(linked_pairs(stored(close_sketches(asked, places, percent)), held, width, percent)))
-        members = stored(alive.join(chosen.select("h", F.col("a").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n"))
+        members = stored(alive.join(chosen.select("h", F.col("a").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n", "at", "before"))
         pivots *= 8
     return links
 
@@ -459,7 +480,7 @@ def jaccard_join(documents: DataFrame, percent: int = 75, width: int = 5, key: s
         held, _ = wanted_texts(ends(likely), places, texts)
         links = stored(linked_pairs(likely, held, width, percent))
     regions = stored(region_pairs(windows, components(links), percent))
-    members = stored(regions.where("b is null").select("h", F.col("a").alias("node"), F.col("an").alias("n")).distinct())
+    members = stored(large_members(regions))
     with batches_of(spark, BATCH):
         asked = stored(close_sketches(promising_pairs(regions, percent), places, percent))
         held, placed = wanted_texts(ends(asked).unionByName(members.select("node")), places, texts)

@@ -315,6 +315,31 @@ def test_jaccard(spark, hostile, region, monkeypatch):
     assert jaccard.jaccard_join(empty(spark)).count() == 0
 
 
+def test_jaccard_drifting_copies(spark, monkeypatch):
+    """One large group of copies too far apart to link, and copies that drift away step by step: few pairs are looked at."""
+    rng, base = random.Random(3), [f"w{i}" for i in range(200)]
+    rows = []
+    for d in range(120):
+        words = list(base)
+        for at in range(12, 200, 25):
+            words[at] = f"own{d}x{at}"
+        rows.append((d, " ".join(words)))
+    words = [f"v{i}" for i in range(200)]
+    for d in range(120, 150):
+        words[rng.randrange(200)] = f"step{d}"
+        rows.append((d, " ".join(words)))
+    asked, close = [], jaccard.close_sketches
+
+    def counted(pairs, *more):
+        asked.append(pairs.count())
+        return close(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "close_sketches", counted)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(docs_of(spark, [(d, t, None, None) for d, t in rows])).collect())
+    assert got == brute_components(rows)
+    assert sum(asked) < 1500  # all pairs of the first group are 7,140
+
+
 def test_shingles_in_segments():
     short, long = jaccard.Shingler(5), jaccard.Shingler(5)
     long.SEGMENT = 64
