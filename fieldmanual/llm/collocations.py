@@ -20,14 +20,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmanual.llm.common import stored
+from fieldmanual.llm.common import batches_of, stored
 
 #: Every byte as the tokens need it: A-Z in lower case, a tab as a blank, marks and line ends as one break.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 BREAK, SKIP = 0, 1  # values that no word's hash takes
 SCREEN_BITS = 1 << 26
 MANY = 4_000_000  # bytes of text, and counted keys, that a task holds at once
-HELD = 5_000_000  # numbers in the counted runs or windows that a task adds up before it sends them on
+KNOWN = 200_000  # words whose hashes a task keeps
+BATCH = 2048  # texts sent to a Python function at once
+HELD = 2_000_000  # numbers in the counted runs or windows that a task adds up before it sends them on
 
 
 def _tokens(texts: list[bytes]) -> list[bytes]:
@@ -121,7 +123,7 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Hashes of the words in order, with a break behind every piece."""
     known: dict[bytes, _Hashes] = {}
     for lang, run in _by_language(batches):
-        if sum(map(len, known.values())) > MANY // 4:
+        if sum(map(len, known.values())) > KNOWN:
             known.clear()
         look = known.setdefault(lang, _Hashes(lang))
         tokens = _tokens(run)
@@ -258,13 +260,15 @@ def mine_collocations(documents: DataFrame, least: int = 30, order: int = 4, top
     least = max(1, least)
     texts = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("text <> ''")
     # Frequent words, and one row per language with the number of all others.
-    vocabulary = stored(count_words(texts).groupBy("lang", F.when(F.col("n") >= least, F.col("word")).alias("word")).agg(F.sum("n").alias("n")))
+    with batches_of(documents.sparkSession, BATCH):
+        vocabulary = stored(count_words(texts).groupBy("lang", F.when(F.col("n") >= least, F.col("word")).alias("word")).agg(F.sum("n").alias("n")))
     totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
     known = vocabulary.where("word is not null").withColumn("h", F.xxhash64("lang", "word"))
     screens = [build_screen(known, "h", screen_bits)]
-    while len(screens) < order - 1:
-        screens.append(build_screen(count_runs(texts, screens).where(F.col("n") >= least), "run", screen_bits))
-    phrases = stored(marginal_counts(lead_windows(texts, screens, order), order, least))
+    with batches_of(documents.sparkSession, BATCH):
+        while len(screens) < order - 1:
+            screens.append(build_screen(count_runs(texts, screens).where(F.col("n") >= least), "run", screen_bits))
+        phrases = stored(marginal_counts(lead_windows(texts, screens, order), order, least))
     held = weakest_cuts(phrases, scale).join(covered_by_longer(phrases), "phrase", "left")
     held = held.where(F.coalesce(_exact("longer") * 100 < _exact("a") * cover_percent, F.lit(True))).drop("longer")
     spelt = held.select("*", F.posexplode("phrase").alias("at", "h")).join(known.select("h", "lang", "word"), "h")

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldmanual.llm import collocations, importance, line_runs
@@ -80,6 +81,23 @@ def test_windows_are_summed_over_a_task(spark, held, monkeypatch):
     assert held == 40 or len(windows) == len(sums)
 
 
+def test_kept_hashes_are_bounded(monkeypatch):
+    """A task forgets hashes of words beyond ``KNOWN``, whatever the size of its runs, and finds the same ones again."""
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([f"a w{i} x{i}"])], ["lang", "text"]) for i in range(200)]
+    whole = np.concatenate(list(collocations._positions(iter(batches))))
+    kept = []
+
+    class Hashes(collocations._Hashes):
+        def __init__(self, lang):
+            super().__init__(lang)
+            kept.append(self)
+
+    monkeypatch.setattr(collocations, "_Hashes", Hashes)
+    monkeypatch.setattr(collocations, "KNOWN", 30)
+    assert np.array_equal(whole, np.concatenate(list(collocations._positions(iter(batches)))))
+    assert max(map(len, kept)) <= 40
+
+
 def test_collocations_count_beyond_long(spark):
     phrases = spark.createDataFrame([([1, 2], 2, 9 * 10 ** 17), ([1], 1, 9 * 10 ** 17), ([2], 1, 9 * 10 ** 17 + 1)], "phrase array<long>, size int, f long")
     assert collocations.weakest_cuts(phrases, 2_000_000).first().score == 2_000_000 * 9 * 10 ** 17 // (18 * 10 ** 17 + 1)
