@@ -8,7 +8,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldmanual.operators import access, glossary, lexical, vectors
+from fieldmanual.operators import access, glossary, lexical, prepare, vectors
 from fieldmanual.plans import secure
 from fieldmanual.plans.registry import Tables
 from fieldmanual.sources import readers
@@ -86,3 +86,22 @@ def test_code_files_are_not_broadcast(spark):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.query_id, r.source, r.title, r.text) for r in out.collect())
     assert got == [(1, "code file", "first", "01H: one\nmore"), (2, "code file", "other", None), *[(n, "not found", None, None) for n in (3, 4, 4)]]
+
+
+def test_only_asked_grams_of_a_page_are_shuffled(spark):
+    draw = np.random.default_rng(5)
+    pages = [(d, p, "".join(draw.choice(list("abcdefgh "), 400))) for d in ("a", "b", None) for p in range(1, 9)] + [("a", 3, "second text of page three"), ("b", 9, None)]
+    texts = {k: "".join(t.split()) for *k, t in pages if t for k in [tuple(k)]}
+    asked = [("a", i, texts["a", p][n:n + 60]) for i, (p, n) in enumerate([(1, 0), (8, 300), (4, 17)])] + [
+        ("a", 3, texts["a", 2][50:70] + "-" * 40), ("a", 4, texts["a", 5][9:14]), ("a", 5, "no such words anywhere"), ("a", 6, ""), ("b", 0, texts["a", 1][:50]), (None, 0, texts["b", 2][:50]), ("c", 0, "x"),
+        ("b", 1, texts["b", 7][5:90]), ("b", 1, texts["b", 7][5:90])]
+    p = spark.createDataFrame(pages, "doc string, page long, page_text string")
+    q = spark.createDataFrame(asked, "doc string, key long, snippet string")
+    grams = q.selectExpr("doc", "substring(snippet, 1, 14) __g").where("__g <> ''").distinct()
+    flat = p.selectExpr("doc", "page", "regexp_replace(page_text, '\\\\s+', '') __t")
+    assert prepare._asked_grams(flat, grams, "doc", 40).count() < 0.02 * sum(len(t) for t in texts.values())
+    got = {(r.doc, r.key): r.page for r in prepare.locate_snippet(q, p, "doc", "key").collect()}
+    rows = [(d, n, "".join(t.split())) for d, n, t in pages if d and t]
+    for d, k, snippet in asked:
+        found = [[n for e, n, t in rows if e == d and "".join(snippet.split())[:size] in t] for size in (40, 24, 14)] if d and snippet else []
+        assert got[d, k] == next((min(x) for x in found if x), 1)
