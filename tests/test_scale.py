@@ -8,7 +8,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldmanual.operators import access, glossary, lexical, prepare, vectors
+from fieldmanual.operators import access, glossary, lexical, prepare, vectors, wiring
 from fieldmanual.plans import secure
 from fieldmanual.plans.registry import Tables
 from fieldmanual.sources import readers
@@ -105,3 +105,29 @@ def test_only_asked_grams_of_a_page_are_shuffled(spark):
     for d, k, snippet in asked:
         found = [[n for e, n, t in rows if e == d and "".join(snippet.split())[:size] in t] for size in (40, 24, 14)] if d and snippet else []
         assert got[d, k] == next((min(x) for x in found if x), 1)
+
+
+def test_traces_carry_no_pins_past_the_pin_test(spark):
+    met = spark.createDataFrame([(1, "k", i, 9, pins, before) for i, (pins, before) in enumerate([(["1"], ["1", "2"]), (["3"], ["1"]), (None, ["1"]), (["1"], None), (None, None)])],
+                                "start_id long, key string, gid long, parent long, pins array<string>, ppins array<string>")
+    lean = wiring.compare_pins(met)
+    assert not {"pins", "ppins"} & set(lean.columns)
+    for junction, want in [(3, [(False, False), (False, True), (True, False), (False, False), (False, False)]), (6, [(False, False)] * 5)]:
+        got = wiring.filter_junction(lean, junction, ["start_id", "key"]).orderBy("gid").collect()
+        assert [(r.pins_unknown, r.folded) for r in got] == want
+
+
+def test_merged_edges_and_traces_with_odd_rows(spark):
+    """Repeated ids, null ids and rows without keys; cable and keys are read off the signature and it alone is shuffled."""
+    rows = [(1, 1, "J1001", "J1002", "4S001-002", "1~2"), (1, 1, "J1001", "J1002", "4S001-002", "1~2"), (2, 2, "P1002", "J1001", "4S001-002", "5"), (3, 2, None, None, "4S009-009", "7"),
+            (None, 3, None, None, "4S008-008", None), (None, 4, "J1002", "J1003", None, None), (6, 5, "J1002", "J1004", None, "2"), (7, 6, "CN1", "J1004", None, None), (8, 6, "CN1", "J1005", None, None)]
+    e = spark.createDataFrame([(i, "b", *r) for i, *r in rows], "edge_id long, doc string, page long, a_conn string, b_conn string, cable string, wires string")
+    e = e.selectExpr("*", *[f"cast(null as string) {c}" for c in ("a_mate", "b_mate", "a_device", "b_device")])
+    groups, pages = wiring.merge_edges(e, keep=("a_device", "b_device"))
+    got = {(r.gid, r.cab, tuple(r["keys"]), tuple(r.pins or ()), r.n_rows) for r in groups.collect()}
+    assert got == {(1, "4S001-002", ("J/P1001", "J/P1002"), ("1", "2", "5"), 3), (3, "4S009-009", (), ("7",), 1), (None, "4S008-008", (), (), 1), (None, "", ("J/P1002", "J/P1003"), (), 1),
+                   (6, "", ("J/P1002", "J/P1004"), ("2",), 1), (7, "", ("CN1", "J/P1004"), (), 1), (8, "", ("CN1", "J/P1005"), (), 1)}
+    assert {tuple(r) for r in pages.collect()} == {(1, "b", 1), (1, "b", 2), (3, "b", 2), (None, "b", 4), (6, "b", 5), (7, "b", 6), (8, "b", 6)}
+    assert {(r.depth, r.gid) for r in wiring.trace(groups, pages, "J1001").collect()} == {(0, 1), (1, 6), (2, 7), (3, 8)}
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("any_value") <= 1 and "b_mate" not in plan.split("max_by")[1].split("best")[0]
